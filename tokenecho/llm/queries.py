@@ -22,6 +22,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(common.documents(spark, sf_dir), tokenizer_path())
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_private
+
+    return find_private(common.documents(spark, sf_dir)).drop("all")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
