@@ -54,6 +54,12 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice import near_vectors
+
+    return near_vectors(common.embeddings(spark, sf_dir))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_by_bytes
 
