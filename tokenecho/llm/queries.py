@@ -60,6 +60,12 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(common.embeddings(spark, sf_dir))
 
 
+def op8_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .crf import identify_documents
+
+    return identify_documents(common.documents(spark, sf_dir))
+
+
 def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lattice import near_vectors
 
