@@ -1,10 +1,58 @@
-"""A training-corpus pipeline over the operators of tokenecho.llm."""
+"""A training-corpus pipeline over the operators of tokenecho.llm.
+
+Each stage takes the documents that its predecessor kept, reread from Parquet, and
+returns documents with the same columns; the last returns their encoding.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tokenecho.llm import bpe, crf, minhash, mixing, pii
+from tokenecho.llm.common import Scratch, documents
+from tokenecho.llm.queries import tokenizer_path
+
+#: A document whose best language has less of its words' probability is rejected, as is one without a letter.
+LEAST_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language, which is filled in where it was null."""
+    found = crf.identify(docs, crf.fit_on(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the smallest id. Rows with a null id stay."""
+    dropped = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and disclosing terms replaced in their texts."""
+    return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixture(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and the decoded text, for each document of the mix."""
+    return bpe.encode_documents(docs, tokenizer_path())
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("private_data", private_data), ("mix", mix), ("encode", encode)]
+
+#: The field of the first stage is fitted, which SQL cannot express; tests run the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return docs

@@ -1,7 +1,7 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
-A rolling hash cuts every text into chunks. Chunks that occur more than once in
-the corpus are encoded once, at their first document, and their ids are handed to
+A rolling hash cuts every text into chunks. Chunks that several documents of the
+corpus hold are encoded once, at their first document, and their ids are handed to
 every other occurrence. The ids on both sides of a cut come from texts that ended
 there, so each join is repaired: a window between two safe breaks around the cut is
 encoded again and widened until it agrees with the chunks on both of its ends.
@@ -211,7 +211,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     found = docs.select("key", "text").where("text <> ''").mapInArrow(occurrences, "chunk binary, key long, i int")
     found = scratch.save(found, "occurrences")
-    shared = scratch.save(found.groupBy("chunk").agg(F.count("*").alias("n"), F.min(F.struct("key", "i")).alias("first")).where("n > 1"), "shared")
+    shared = scratch.save(found.groupBy("chunk").agg(F.min(F.struct("key", "i")).alias("first"), F.max("key").alias("last")).where("first.key <> last").drop("last"), "shared")
 
     bit = F.pmod(F.conv(F.hex(F.substring("chunk", 1, 7)), 16, 10).cast("long"), F.lit(FILTER_BITS))
     set_bits = shared.select(bit.alias("b")).selectExpr("b div 64 AS w", "shiftleft(1L, cast(b % 64 AS int)) AS m")
@@ -227,13 +227,17 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def alone(batches):
         c = codec(path)
         for batch in batches:
-            rows = []
+            rows, before = [], None
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), _texts(batch)):
-                at = cuts(text)
+                if text == before and rows:  # a repeated row behind its like
+                    rows.append((doc_id, *rows[-1][1:]))
+                    continue
+                at, before = cuts(text), None
                 pieces = [text[x:y] for x, y in zip(at, at[1:])]
                 if not any(may_repeat(chunk_key(p)) for p in pieces) or not text:
                     ids = c.join(text, at, [c.encode(p) for p in pieces])
                     rows.append(_result(c, doc_id, ids, len(pieces), 0))
+                    before = text
             yield _out(rows)
 
     def others(batches):

@@ -130,7 +130,7 @@ def disclosing_terms(documents: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and all (start, kind, end) of every row.
+    """doc_id, key (a hash of id and text), n_email, n_ip, n_card, n_phone, base_sha256, spans and all (start, kind, end) of every row.
 
     A null text is empty and has no spans. Rows with null or repeated ids each get their
     own result (equal rows count as so many documents and are alike); an empty table gives
@@ -148,10 +148,18 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = near.groupBy("key").agg(F.collect_list(F.struct(F.col("s").alias("start"), "kind", F.col("e").alias("end"))).alias("added"))
     out = found.join(near, "key", "left")
     base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    out = out.select("doc_id", base.alias("base"), "added")
+    out = out.select("doc_id", "key", base.alias("base"), "added")
     both = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     counts = [F.size(F.filter("base", _is(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
-    return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), both.alias("all")).withColumn("spans", _joined(F.col("all")))
+    return out.select("doc_id", "key", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), both.alias("all")).withColumn("spans", _joined(F.col("all")))
+
+
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the spans of find_private replaced in the text; rows without any stay as they are."""
+    spans = find_private(docs, id_col, text_col).where("size(all) > 0").dropDuplicates(["key"]).select("key", "all")
+    keyed = docs.withColumn("key", F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
+    out = keyed.join(spans, "key", "left")
+    return out.withColumn(text_col, F.when(F.col("all").isNotNull(), redact(F.col(text_col), F.col("all"))).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def redact(text: Column, spans: Column) -> Column:

@@ -25,7 +25,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_private
 
-    return find_private(common.documents(spark, sf_dir)).drop("all")
+    return find_private(common.documents(spark, sf_dir)).drop("all", "key")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
