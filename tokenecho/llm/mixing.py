@@ -101,7 +101,7 @@ def n_words(text):
 def mix(docs: DataFrame, members=None, seed: int = 17, weights=(5, 2, 1), share: float = 1.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry=()) -> DataFrame:
     """docs' id, source, size, source_size, target and the words taken of each document.
 
-    carry: names of further columns of docs to return. members: a column with the array of sources that a document may serve; its own
+    carry: names of columns of docs to return in the struct `carried`. members: a column with the array of sources that a document may serve; its own
     source unless given. No document is taken more than twice. Rows with a null source
     form one source, null texts have no words, repeated rows each count, ids may be null;
     an empty table gives no rows. The order of documents is a hash of seed, id and text,
@@ -151,11 +151,12 @@ def mix(docs: DataFrame, members=None, seed: int = 17, weights=(5, 2, 1), share:
     cols = ["doc_id", "source", "size", "passes", "last", "carried"]
     both = off.select(*cols).unionByName(at.select(*cols))
     both = both.join(goals, F.col("source").eqNullSafe(F.col("of_source")))
-    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("last")).cast("long").alias("taken"), *[F.col("carried")[c].alias(c) for c in carry if c not in ("doc_id", "source")])
+    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("last")).cast("long").alias("taken"), *(["carried"] if carry else []))
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """docs as often as the mix takes them: whole documents, the one at a border if half of it or more is taken."""
     out = mix(docs, carry=docs.columns, **options)
     times = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    return out.withColumn("times", times).where("times > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    out = out.withColumn("times", times).where("times > 0").select("carried", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return out.select(*[F.col("carried")[c].alias(c) for c in docs.columns])

@@ -40,11 +40,11 @@ class Lists:
         seen = np.zeros((m, d), bool)
         for step in range(1, STEPS):
             lo, hi = m * (step - 1) // STEPS, m * step // STEPS
-            seen[self.order[lo:hi][:, ~up], cols[~up]] = True
-            seen[self.order[m - hi : m - lo][:, up], cols[up]] = True
-            edge = np.where(up, self.x[self.order[max(0, m - hi), cols], cols], self.x[self.order[max(0, hi - 1), cols], cols]) * q
             if not hi:
                 continue
+            seen[self.order[lo:hi][:, ~up], cols[~up]] = True
+            seen[self.order[m - hi : m - lo][:, up], cols[up]] = True
+            edge = np.where(up, self.x[self.order[m - hi, cols], cols], self.x[self.order[hi - 1, cols], cols]) * q
             read = seen[alive]
             have = np.einsum("md,md->m", add[alive], read)
             unread = ~read
