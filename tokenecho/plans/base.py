@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.cluster import ship
 from ..functions.text import TOKEN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +20,7 @@ def query(name: str, sql: str | None = None):
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             df = f(spark, sf_dir)
             return df.select(*[F.col(c.name).cast("long") if isinstance(c.dataType, (T.IntegerType, T.ShortType)) else F.col(c.name) for c in df.schema])
 
