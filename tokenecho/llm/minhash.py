@@ -7,8 +7,10 @@ similarity reaches the threshold (uniform prior) falls below the chosen miss
 probability. Survivors are verified on their full shingle sets.
 
 In each bucket of a band every class is first paired with the smallest class only.
-Where a bucket still holds several components after that, its classes are paired
-across components, which reaches every link that can join two components.
+Where a bucket still holds several components after that, its classes are compared
+across components, which reaches every link that can join two components. The first
+batch of that comparison is part of the join itself: set sizes, and two bits of every
+signature value, so pairs that cannot be links are not even made.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .common import LOWER, U64, Scratch, components, mix, run_hash, words_of
 BANDS, ROWS = 36, 6
 HASHES = BANDS * ROWS
 BATCH = 24
+WORDS = -(-HASHES // 64)
+PLANES = [f"p{bit}_{w}" for bit in (0, 1) for w in range(WORDS)]
 _rng = np.random.default_rng(4099)
 _A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
 _B = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -78,6 +82,28 @@ def least_matches(threshold: float, miss: float) -> dict[int, int]:
     return out
 
 
+def most_differing(threshold: float, miss: float) -> int:
+    """Of all two-bit signature values, how many may differ: more do with probability under miss at the threshold."""
+    p, total, m = 0.75 * (1 - threshold), 0.0, -1
+    while total < 1 - miss:
+        m += 1
+        total += comb(HASHES, m) * p**m * (1 - p) ** (HASHES - m)
+    return m
+
+
+def _planes(batches):
+    """The two lowest bits of signature values, packed into WORDS longs for each of the bits."""
+    for batch in batches:
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+        out = [batch.column("id"), batch.column("n")]
+        for bit in (0, 1):
+            plane = np.zeros((len(sig), WORDS * 64), np.uint8)
+            plane[:, :HASHES] = sig >> bit & 1
+            words = np.packbits(plane, axis=1).view(np.int64)
+            out += [pa.array(np.ascontiguousarray(words[:, w])) for w in range(WORDS)]
+        yield pa.RecordBatch.from_arrays(out, ["id", "n", *PLANES])
+
+
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text")]
 
@@ -157,9 +183,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-4, id_c
     rows = scratch.save(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, same binary, sig binary"), "sketches")
     classes = rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("id"))
     classes = scratch.save(classes, "classes")  # all exact copies stand for one another from here on
-    sigs = rows.join(classes.withColumnRenamed("same", "s"), (F.col("doc_id") == F.col("id")) & (F.col("same") == F.col("s"))).dropDuplicates(["id"]).select("id", "sig")
+    sigs = rows.join(classes.withColumnRenamed("same", "s"), (F.col("doc_id") == F.col("id")) & (F.col("same") == F.col("s"))).dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("n"), "sig")
     sigs = scratch.save(sigs, "signatures")
 
+    whole, sigs = sigs, sigs.select("id", "sig")
     buckets = sigs.mapInArrow(_bands, "bucket long, id long")
     heads = buckets.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = scratch.save(buckets.join(heads, "bucket"), "buckets")  # only buckets with several classes
@@ -183,13 +210,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-4, id_c
     # what is left: classes of one bucket that are in different components, but for pairs already tried
     named = buckets.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-    named = scratch.save(named.join(mixed, "bucket"), "mixed")
-    a, b = named.toDF("bucket", "u", "cu"), named.toDF("bucket", "v", "cv")
-    more = a.join(b, "bucket").where("cu <> cv AND u > v").select("u", "v").distinct().join(first, ["u", "v"], "left_anti")
+    named = named.join(mixed, "bucket")
+    planes = whole.mapInArrow(_planes, "id long, n long, " + ", ".join(f"{x} long" for x in PLANES))
+    named = scratch.save(named.join(planes, "id").select("bucket", "id", "c", "n", *PLANES), "mixed")
+    a, b = (named.select("bucket", *[F.col(x).alias(f"{side}_{x}") for x in ("id", "c", "n", *PLANES)]) for side in "uv")
+    differ = sum((F.bit_count(F.col(f"u_p0_{w}").bitwiseXOR(F.col(f"v_p0_{w}")).bitwiseOR(F.col(f"u_p1_{w}").bitwiseXOR(F.col(f"v_p1_{w}")))) for w in range(WORDS)), F.lit(0))
+    may = (F.col("u_c") != F.col("v_c")) & (F.col("u_id") > F.col("v_id")) & (F.least("u_n", "v_n") * 100 >= F.greatest("u_n", "v_n") * percent)
+    may = (a["bucket"] == b["bucket"]) & may & (differ <= most_differing(percent / 100, miss))
+    more = a.join(b, may).select(F.col("u_id").alias("u"), F.col("v_id").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
     more = scratch.save(more, "pairs2")
     if more.take(1):
-        links = links.union(confirmed(more, "rest"))
-        comp = scratch.save(components(scratch, links, "cc2"), "components2")
+        # only the components that these links join are connected anew
+        name = comp.withColumnRenamed("component", "c")
+        joins = confirmed(more, "rest")
+        for side in "uv":
+            joins = joins.join(name.withColumnRenamed("id", side), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
+        top = components(scratch, joins.where("u <> v"), "cc2").toDF("component", "top")
+        lone = top.join(comp, top["component"] == comp["id"], "left_anti").select(F.col("component").alias("id"), "component")
+        comp = comp.unionByName(lone).join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+        comp = scratch.save(comp, "components2")
 
     named = classes.join(comp, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
     out = rows.select("doc_id", "n_shingles", "same").join(named, "same", "left")
