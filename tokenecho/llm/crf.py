@@ -11,7 +11,6 @@ from which the transitions between languages are learned.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import ship
+from .common import U64, mix, powers, ship
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
@@ -31,15 +30,42 @@ LEXICON = 20_000
 AT_ONCE, CACHE = 400_000, 200_000
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    w = word[:40]
-    names = ["b", "w" + w]
-    names += ["p" + w[:k] for k in (1, 2, 3, 4)] + ["s" + w[-k:] for k in (1, 2, 3, 4)]
-    padded = f"^{w}$"
-    names += ["g" + padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1)]
-    if word in lexicon:
-        names.append(f"l{lexicon[word]}")
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names]
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, of): the hashed features of all words at once, and the word that each belongs to.
+
+    Prefixes and suffixes of 1 to 4 letters, bigrams and trigrams with the word's borders,
+    the word itself, its language in the lexicon, and a constant.
+    """
+    cut = [w[:40] for w in words]
+    code = np.frombuffer(("^" + "$^".join(cut) + "$").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.array([len(w) for w in cut], np.int64)
+    start = np.cumsum(size + 2) - size - 1  # first letters
+    end, word = start + size, np.repeat(np.arange(size.size), size + 2)
+    key, of = [np.zeros(size.size, np.uint64)], [np.arange(size.size)]
+
+    def add(seed: int, at: np.ndarray, letters: int, owner: np.ndarray) -> None:
+        h = np.full(at.size, seed, np.uint64)
+        for k in range(letters):
+            h = h * U64(0x9E3779B97F4A7C15) + code[at + k]
+        key.append(h)
+        of.append(owner)
+
+    for k in (2, 3):
+        at = np.flatnonzero(word[: word.size - k + 1] == word[k - 1 :])
+        add(k, at, k, word[at])
+    for k in (1, 2, 3, 4):
+        some = np.flatnonzero(size >= k)
+        add(10 + k, start[some], k, some)
+        add(20 + k, end[some] - k, k, some)
+    up, down = powers(code.size)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code * up[: code.size])))
+    key.append((total[end] - total[start]) * down[start] + U64(30))
+    of.append(of[0])
+    known = np.array([lexicon.get(w, -1) for w in words], np.int64)
+    some = np.flatnonzero(known >= 0)
+    key.append(known[some].astype(np.uint64) + U64(1000))
+    of.append(some)
+    return (mix(np.concatenate(key)) % U64(BUCKETS)).astype(np.int64), np.concatenate(of)
 
 
 def forward_backward(scores: np.ndarray, start: np.ndarray, size: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -93,12 +119,15 @@ class Tagger:
         if len(self.index) > CACHE:
             self._forget()
         index = self.index
-        for w in set(words).difference(index):
-            i = len(index)
-            if i == len(self.scores):
+        new = list(set(words).difference(index))
+        for lo in range(0, len(new), 20_000):
+            part, n = new[lo : lo + 20_000], len(index)
+            flat, of = features(part, self.lexicon)
+            while n + len(part) > len(self.scores):
                 self.scores = np.concatenate((self.scores, np.empty_like(self.scores)))
-            self.scores[i] = self.weights[features(w, self.lexicon)].sum(axis=0)
-            index[w] = i
+            for c in range(len(self.langs)):
+                self.scores[n : n + len(part), c] = np.bincount(of, self.weights[flat, c], len(part))
+            index.update(zip(part, range(n, n + len(part))))
         return self.scores[list(map(index.__getitem__, words))]
 
     def probabilities(self, texts: list[list[str]]) -> list[np.ndarray]:
@@ -150,7 +179,12 @@ def fit(rows: list[tuple[str, str]], epochs: int = 5, rate: float = 0.2, seed: i
     for w, lang in docs:
         at = int(rng.integers(0, max(1, len(w) - STRETCH + 1)))
         cut.append((w[at : at + STRETCH], label[lang]))
-    known: dict[str, list[int]] = {}
+    every = sorted({x for w, _ in cut for x in w})
+    known = {x: i for i, x in enumerate(every)}
+    flats, of = features(every, lexicon)
+    flats = flats[np.argsort(of, kind="stable")]
+    many = np.bincount(of, minlength=len(every))
+    begin = np.cumsum(many) - many
     for _ in range(epochs):
         order = rng.permutation(len(cut))
         for lo in range(0, len(cut), 64):
@@ -166,9 +200,9 @@ def fit(rows: list[tuple[str, str]], epochs: int = 5, rate: float = 0.2, seed: i
                 words += w
                 gold += y
                 size.append(len(w))
-            feats = [known[x] if x in known else known.setdefault(x, features(x, lexicon)) for x in words]
-            flat = np.fromiter((f for fs in feats for f in fs), np.int64)
-            of = np.repeat(np.arange(len(words)), [len(fs) for fs in feats])
+            ids = np.array([known[x] for x in words])
+            of = np.repeat(np.arange(len(words)), many[ids])
+            flat = flats[np.repeat(begin[ids] - np.cumsum(many[ids]) + many[ids], many[ids]) + np.arange(of.size)]
             score = np.stack([np.bincount(of, weights[flat, c], len(words)) for c in range(n)], axis=1)
             sizes = np.array(size)
             start = np.cumsum(sizes) - sizes
