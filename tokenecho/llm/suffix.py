@@ -1,6 +1,6 @@
 """Removal of repeated byte strings with difference-cover suffix arrays.
 
-Equal 50-byte strings have the same minimizer (the smallest hash of their 16-byte
+Equal 50-byte strings have the same minimizer (the smallest hash of their 24-byte
 substrings), so consecutive windows of a text with one minimizer, cut out as a piece,
 are dealt by it: all occurrences of a string meet in one slice. Pieces whose minimizer
 no other document has cannot repeat and are not sent; equal pieces are sent once for
@@ -9,7 +9,7 @@ difference-cover algorithm (sort the triples that start at positions 1 and 2 mod
 recurse on their names where these are not unique, sort the other suffixes by their
 first byte and the rank behind it, merge) and compares the prefixes of adjacent
 suffixes. Suffixes that agree for 50 bytes form a group, whose first document goes back
-to the blocks.
+to the blocks. Only where all pieces of a minimizer are one text is there nothing to sort.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from . import blocks as B
 from .common import BYTE, U64, Scratch, mix
 
-GRAM = 16
+GRAM = 24
 #: Bytes of pieces in one suffix array, as long as one minimizer's pieces have no more.
 PART = 400_000
 
@@ -114,9 +114,9 @@ class Pieces:
         for lo in range(0, max(0, n - length + 1), step):
             part = buf[lo : min(n, lo + step + length - 1)]
             h = BYTE[part]
-            for k, f in ((1, 0xD6E8FEB86659FD93), (2, 0xC2B2AE3D27D4EB4F), (4, 0xA24BAED4963EE407), (8, 0x9FB21C651E98DF25)):
+            for k, f in ((1, 0xD6E8FEB86659FD93), (2, 0xC2B2AE3D27D4EB4F), (4, 0xA24BAED4963EE407)):
                 h = h[:-k] * U64(f) + h[k:]
-            h = mix(h)
+            h = mix((h[:-16] * U64(0x9FB21C651E98DF25) + h[8:-8]) * U64(0x9FB21C651E98DF25) + h[16:])  # 8, 16, 24 bytes
             w = length - GRAM + 1
             k = 1
             while 2 * k <= w:
@@ -129,7 +129,7 @@ class Pieces:
             change = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | ~full[:-1]))
             at = np.flatnonzero(change & full)
             ends = np.flatnonzero(np.concatenate((change[1:] | ~full[1:], [True])) & full)
-            value.append(h[at])
+            value.append(mix(h[at]))  # minimizers are small numbers; slices want them spread
             start.append(i[at])
             last.append(i[ends])
             doc.append(d[at])
@@ -148,7 +148,7 @@ def _key(text: bytes) -> bytes:
     return hashlib.blake2b(text, digest_size=16).digest()
 
 
-_SENT = "p int, b int, value long, text binary, doc long, last long"
+_SENT = "p int, b int, value long, key binary, text binary, doc long, last long"
 
 
 def remove_repeated_strings(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,35 +176,41 @@ def remove_repeated_strings(docs: DataFrame, length: int = 50, id_col: str = "do
         end = [k[-1] for k in p.texts.values()]
         value = p.value[at]
         ids = p.block.ids[p.doc]  # ids rise within the block
-        return pa.table([pa.array(B.slice_of(value, slices).astype(np.int32)), pa.array(np.full(len(at), p.block.b, np.int32)), pa.array(value.view(np.int64)), pa.array(list(p.texts), pa.binary()), pa.array(ids[at]), pa.array(ids[end])], names=["p", "b", "value", "text", "doc", "last"])
+        return pa.table([pa.array(B.slice_of(value, slices).astype(np.int32)), pa.array(np.full(len(at), p.block.b, np.int32)), pa.array(value.view(np.int64)), pa.array([_key(x) for x in p.texts], pa.binary()), pa.array(list(p.texts), pa.binary()), pa.array(ids[at]), pa.array(ids[end])], names=["p", "b", "value", "key", "text", "doc", "last"])
 
     def arrays(t: pa.Table) -> pa.Table:
+        order = np.argsort(t["value"].to_numpy(), kind="stable")
+        t = t.take(pa.array(order)).combine_chunks()
         value, b = t["value"].to_numpy(), t["b"].to_numpy()
         doc, last = t["doc"].to_numpy(), t["last"].to_numpy()
-        texts = t["text"]
-        order = np.argsort(value, kind="stable")
-        cut = np.append(B.runs(value[order]), order.size)
-        out: list[tuple] = []
-        lo = 0
-        while lo < cut.size - 1:  # whole minimizers, as many as fit
-            hi, size, seen = lo, 0, {}
-            while hi < cut.size - 1 and (hi == lo or size < PART):
-                for k in order[cut[hi] : cut[hi + 1]].tolist():
-                    text = texts[k].as_py()
-                    if text not in seen:
-                        size += len(text) + 1
-                    seen.setdefault(text, []).append(k)
-                hi += 1
+        keys, texts = t["key"].to_pylist(), t["text"]
+        at = B.runs(value)
+        cut = np.append(at, value.size)
+        marks = np.frombuffer(b"".join(keys), np.uint64)[::2]
+        alone = np.minimum.reduceat(marks, at) == np.maximum.reduceat(marks, at)
+        # where all pieces of a minimizer are one text, its suffixes need no sorting: one owner holds throughout
+        low = np.repeat(np.where(alone, np.minimum.reduceat(doc, at), last.max()), np.diff(cut))
+        rows = np.flatnonzero(low < last)
+        whole = np.zeros((rows.size, 2), "<i8")
+        whole[:, 1] = low[rows]
+        packed = whole.tobytes()
+        out = [(x, keys[k], packed[16 * i : 16 * i + 16]) for i, (x, k) in enumerate(zip(b[rows].tolist(), rows.tolist()))]
+        several = np.flatnonzero(~alone).tolist()
+        while several:  # whole minimizers, as many as fit
+            size, seen = 0, {}
+            while several and (not seen or size < PART):
+                g = several.pop()
+                for k in range(cut[g], cut[g + 1]):
+                    if keys[k] not in seen:
+                        size += len(texts[k].as_py()) + 1
+                    seen.setdefault(keys[k], []).append(k)
             owner = np.array([doc[k].min() for k in seen.values()], np.int64)
-            for (text, rows), low in zip(seen.items(), first_owners(list(seen), owner, length)):
-                top = int(last[rows].max())
-                if low.min() >= top:
-                    continue
-                at = B.runs(low)
-                packed = np.concatenate((at, low[at])).astype("<i8").tobytes()
-                key = _key(text)
-                out += [(int(b[k]), key, packed) for k in rows if low.min() < last[k]]
-            lo = hi
+            for (key, ks), own in zip(seen.items(), first_owners([texts[k[0]].as_py() for k in seen.values()], owner, length)):
+                least = own.min()
+                if least < last[ks].max():
+                    first = B.runs(own)
+                    answer = np.concatenate((first, own[first])).astype("<i8").tobytes()
+                    out += [(int(b[k]), key, answer) for k in ks if least < last[k]]
         return pa.table([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 3, (pa.int32(), pa.binary(), pa.binary()))], names=["b", "key", "low"])
 
     sent = table.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(send, _SENT)
@@ -221,16 +227,21 @@ def remove_repeated_strings(docs: DataFrame, length: int = 50, id_col: str = "do
             p = Pieces(block, length)
             p.pick(B.answered(own))
             low = {k.as_py(): np.frombuffer(v.as_buffer(), "<i8") for k, v in zip(answer["key"], answer["low"]) if k.is_valid}
+            opens, closes = [], []
+            ids, starts = block.ids[p.doc].tolist(), p.start.tolist()
             for text, rows in p.texts.items():
-                runs = low.get(_key(text)) if low else None
+                runs = low.get(_key(text))
                 if runs is None:
                     continue
-                at, who = np.append(runs[: runs.size // 2], len(text) - length + 1), runs[runs.size // 2 :]
+                half = runs.size // 2
+                at, who = [*runs[:half].tolist(), len(text) - length + 1], runs[half:].tolist()
                 for k in rows:
-                    mine, a = block.ids[p.doc[k]], p.start[k]
-                    for x in np.flatnonzero(who < mine).tolist():
-                        change[a + at[x]] += 1
-                        change[a + at[x + 1] - 1 + length] -= 1
+                    for x, w in enumerate(who):
+                        if w < ids[k]:
+                            opens.append(starts[k] + at[x])
+                            closes.append(starts[k] + at[x + 1] - 1 + length)
+            np.add.at(change, np.array(opens, np.int64), 1)
+            np.add.at(change, np.array(closes, np.int64), -1)
         gone = np.cumsum(change[:-1]) > 0
         removed, spans, kept = [], [], []
         for a, z in zip(block.start.tolist(), block.end.tolist()):
