@@ -21,8 +21,8 @@ from .common import Scratch
 
 #: Vectors whose lists are read together; stretches that one task reads in turn; queries of a task.
 STRETCH, STRETCHES, QUERIES = 4096, 2, 512
-#: Lists are read in so many steps; at this many candidates left over k the rest is resolved.
-STEPS, FEW = 16, 4
+#: Bounds are drawn at these depths of the lists; with this many times k candidates left the rest is resolved.
+DEPTHS, FEW = (1 / 16, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8), 4
 
 
 class Lists:
@@ -38,12 +38,14 @@ class Lists:
         least = np.minimum(self.low * q, self.high * q)
         up, cols = q >= 0, np.arange(d)
         seen = np.zeros((m, d), bool)
-        for step in range(1, STEPS):
-            lo, hi = m * (step - 1) // STEPS, m * step // STEPS
-            if not hi:
+        lo = 0
+        for depth in DEPTHS:
+            hi = int(m * depth)
+            if hi == lo:
                 continue
             seen[self.order[lo:hi][:, ~up], cols[~up]] = True
             seen[self.order[m - hi : m - lo][:, up], cols[up]] = True
+            lo = hi
             edge = np.where(up, self.x[self.order[m - hi, cols], cols], self.x[self.order[hi - 1, cols], cols]) * q
             read = seen[alive]
             have = np.einsum("md,md->m", add[alive], read)
