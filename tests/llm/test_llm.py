@@ -116,6 +116,22 @@ def test_pii_removes_what_discloses_and_leaves_the_rest(spark):
     assert all("secret.name" not in out[i] and "zanzibar" not in out[i] and "common words" in out[i] and "<EMAIL>" in out[i] for i, _ in rows)
 
 
+def test_pii_counts_and_removes_in_whole_documents(spark):
+    far = prose(300, 80)
+    noise = [(100 + i, prose(50 + i, 60) + " Zoltan") for i in range(60)] + [(200, prose(49, 40) + " Li Quy")]
+    rows = [(i, f"{prose(i, 40)} Li called. {far} q.x@corp.org {far} zanzibar, {prose(i + 9, 700)} Zanzibar! Li Zoltan") for i in range(6)]
+    two = [(20 + i, f"{prose(70 + i, 40)} jo.x@corp.org {far} Only{i // 2}") for i in range(2)]
+    df = spark.createDataFrame([*rows, rows[0], *two, *noise], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert all(out[i] == t for i, t in noise)
+    assert all(out[i] == t.replace("jo.x@corp.org", "<EMAIL>") for i, t in two)  # two documents are too few
+    spans = {r["doc_id"]: r["spans"].split(",") for r in pii.find_private(df).collect()}
+    for i, t in rows:
+        assert not re.search("zanzibar|called|corp", out[i], re.I) and out[i].endswith(" <TERM> Zoltan")
+        expected = [(m.start(), "generalise" if m[0] == "Li" else "remove", m.end()) for m in re.finditer(r"\b(?:Li|called|zanzibar)\b", t, re.I)]
+        assert [f"{k}:{s}:{e}" for s, k, e in expected] == [x for x in spans[i] if not x.startswith("email")]
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     size = [len(WORD.findall(t or "")) for t in TEXTS.values()]

@@ -1,11 +1,12 @@
 """Personal data and the terms that disclose it, with DataFrame functions only.
 
 Base spans are emails, IP addresses, card and phone numbers. Then the corpus says how
-strongly a term near an entity (one base value) reveals it: with document counts,
-PMI(c; t) = ln(N n(c,t) / (n(c) n(t))) is compared with the entity's information content
-IC(c) = ln(N / n(c)); the ratio is 1 when the term occurs only near that entity. Terms
-from the removal threshold up are removed, those from the disclosure threshold up
-generalised, in the contexts of the entity that they disclose. Counts cover all documents.
+strongly a term beside an entity (one base value) in a document reveals it: with document
+counts, PMI(c; t) = ln(N n(c,t) / (n(c) n(t))) is compared with the entity's information
+content IC(c) = ln(N / n(c)); the ratio is 1 when all documents with the term hold that
+entity. Terms from the removal threshold up are removed, those from the disclosure threshold
+up generalised, wherever they stand in the documents that hold an entity that they disclose.
+Counts cover whole documents, and all of them.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP_VALID = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
-#: A term: letters, this many at least, and as whole words within this many code points of a base span.
-TERM, WINDOW = r"\p{L}{4,}", 64
-#: Documents in which a term stands near the entity, at least; ratios of PMI to IC.
+#: A term: a run of letters outside emails, of any length; how many have their starts added up at once.
+TERM, STRETCH = r"\p{L}+", 256
+#: Documents that hold both the term and the entity, at least; ratios of PMI to IC.
 SUPPORT, DISCLOSES, REMOVES = 3, 0.9, 0.99
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,33 +78,27 @@ def base_spans(rows: DataFrame, text: str = "text") -> DataFrame:
     return out.select(*keep, F.array_sort(F.concat(*found)).alias("base"), F.when(F.size("m_email") > 0, F.array_join(hidden, "")).otherwise(F.col(text)).alias("masked"))
 
 
-def _terms(near: Column, offset: Column, open_left: Column, open_right: Column, entity: Column) -> Column:
-    """Terms of a context, but for words that its borders may cut."""
-    m = F.regexp_extract_all(near, F.lit(TERM), F.lit(0))
-    at = _starts(F.split(near, TERM, -1), m)
+def _words(text: Column) -> Column:
+    """The distinct terms of a text, A-Z lower-cased."""
+    return F.array_distinct(F.regexp_extract_all(F.translate(text, _UP, _LOW), F.lit(TERM), F.lit(0)))
 
-    def term(t: Column, s: Column) -> Column:
-        e = s + F.length(t)
-        cut = (open_left & (s == 0)) | (open_right & (e == F.length(near)))
-        return F.when(~cut, F.struct(entity.alias("c"), F.translate(t, _UP, _LOW).alias("t"), (offset + s).alias("s"), (offset + e).alias("e")))
 
-    return F.filter(F.zip_with(m, at, term), lambda x: x.isNotNull())
+def _occurrences(text: Column) -> Column:
+    """All terms of a text: array<struct<t, s, e>>. Starts are added up by stretches, so that time is not the square of the terms."""
+    m = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    both = F.struct(F.split(text, TERM, -1).alias("p"), m.alias("m"))
 
+    def located(x: Column) -> Column:
+        begin = F.when(F.size(x["m"]) > 0, F.sequence(F.lit(1), F.size(x["m"]), F.lit(STRETCH))).otherwise(F.array().cast("array<int>"))
+        return F.transform(begin, lambda i: F.struct(F.slice(x["p"], i, F.lit(STRETCH)).alias("p"), F.slice(x["m"], i, F.lit(STRETCH)).alias("m")))
 
-def contexts() -> Column:
-    """All terms near the base spans of a row: array<struct<c, t, s, e>>."""
+    def placed(parts: Column) -> Column:
+        whole = F.transform(parts, lambda y: F.concat(F.array_join(F.slice(y["p"], F.lit(1), F.size(y["m"])), ""), F.array_join(y["m"], "")))
+        offset = _starts(F.transform(parts, lambda y: F.lit("")), whole)
+        return F.flatten(F.zip_with(parts, offset, lambda y, o: F.zip_with(y["m"], _starts(y["p"], y["m"]), lambda t, s: F.struct(F.translate(t, _UP, _LOW).alias("t"), (o + s).alias("s"), (o + s + F.length(t)).alias("e")))))
 
-    def near(b: Column) -> Column:
-        lo = F.greatest(b["start"] - WINDOW, F.lit(0))
-        left = F.substring(F.col("masked"), lo + 1, b["start"] - lo)
-        right = F.substring(F.col("masked"), b["end"] + 1, F.lit(WINDOW))
-        no = F.lit(False)
-        return F.concat(
-            _terms(left, lo, lo > 0, no, b["entity"]),
-            _terms(right, b["end"], no, b["end"] + WINDOW < F.length("masked"), b["entity"]),
-        )
-
-    return F.flatten(F.transform("base", near))
+    # arrays of one element bind what the inner functions use, or they would find it anew for every stretch
+    return F.flatten(F.transform(F.transform(F.array(both), located), placed))
 
 
 def _is(i: int):
@@ -115,13 +110,16 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", kind(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def disclosing_terms(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """(c, t, kind): terms whose nearness to an entity passes a threshold."""
+def disclosing_terms(documents: DataFrame, held: DataFrame, entities: DataFrame) -> DataFrame:
+    """(c, t, kind): terms whose presence beside an entity passes a threshold.
+
+    held: key, masked, m and entities (of at least SUPPORT documents) of the texts that have any, which m rows share.
+    """
     n = documents.count()
-    pairs = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["c"].alias("c"), x["t"].alias("t"))))).alias("x"))
-    pairs = pairs.groupBy("x.c", "x.t").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= SUPPORT)
-    entities = found.select(F.explode(F.array_distinct(F.transform("base", lambda b: b["entity"]))).alias("c")).groupBy("c").agg(F.count("*").alias("n_c"))
-    words = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(F.translate("text", _UP, _LOW), F.lit(TERM), F.lit(0)))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    hidden = F.when(F.col("text").contains("@"), F.regexp_replace("text", EMAIL, "#")).otherwise(F.col("text"))
+    words = documents.select(F.explode(_words(hidden)).alias("t")).groupBy("t").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= SUPPORT)
+    pairs = held.select("m", F.explode("entities").alias("c"), _words(F.col("masked")).alias("words")).select("m", "c", F.explode("words").alias("t"))
+    pairs = pairs.groupBy("c", "t").agg(F.sum("m").alias("n_ct")).where(F.col("n_ct") >= SUPPORT)
     scored = pairs.join(words, "t").join(entities, "c")
     pmi = F.log(F.lit(float(n)) * F.col("n_ct") / F.col("n_c") / F.col("n_t"))
     ic = F.log(F.lit(float(n)) / F.col("n_c"))
@@ -139,14 +137,20 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(docs.sparkSession, "pii")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    found = base_spans(rows).select("doc_id", "key", "base", F.when(F.size("base") > 0, contexts()).alias("near"))
+    found = base_spans(rows).select("doc_id", "key", "base", F.when(F.size("base") > 0, F.col("masked")).alias("masked"))
     found = scratch.save(found, "found")
-    flagged = scratch.save(disclosing_terms(rows.select("text"), found.where("size(base) > 0")), "terms")
-
-    near = found.where("size(base) > 0").select("key", F.explode("near").alias("x")).select("key", "x.*").join(flagged, ["c", "t"])
-    near = near.groupBy("key", "s", "e").agg(F.min("kind").alias("kind"))
+    some = found.where("size(base) > 0")
+    beside = some.select("key", F.explode(F.array_distinct(F.transform("base", lambda b: b["entity"]))).alias("c")).groupBy("key", "c").agg(F.count("*").alias("m"))
+    entities = beside.groupBy("c").agg(F.sum("m").alias("n_c")).where(F.col("n_c") >= SUPPORT)
+    beside = beside.join(entities, "c").groupBy("key").agg(F.max("m").alias("m"), F.collect_list("c").alias("entities"))
+    held = scratch.save(some.select("key", "masked").dropDuplicates(["key"]).join(beside, "key"), "held")
+    flagged = scratch.save(disclosing_terms(rows.select("text"), held, entities), "terms")
+
+    near = held.select("key", F.explode("entities").alias("c"), _words(F.col("masked")).alias("words")).select("key", "c", F.explode("words").alias("t"))
+    near = near.join(flagged, ["c", "t"]).groupBy("key", "t").agg(F.min("kind").alias("kind"))
+    near = held.select("key", F.explode(_occurrences(F.col("masked"))).alias("x")).select("key", "x.*").join(near, ["key", "t"])
     near = near.groupBy("key").agg(F.collect_list(F.struct(F.col("s").alias("start"), "kind", F.col("e").alias("end"))).alias("added"))
-    out = found.join(near, "key", "left")
+    out = found.drop("masked").join(near, "key", "left")
     base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     out = out.select("doc_id", "key", base.alias("base"), "added")
     both = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
