@@ -191,6 +191,21 @@ def test_minhash_components(spark, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_shingles_of_five_words(spark):
+    def fives(text):
+        w = [x.lower() if x.isascii() else x for x in WORD.findall(text or "")]
+        return set(zip(*(w[k:] for k in range(5)))) if len(w) > 4 else {tuple(w)} if w else set()
+
+    r, w = np.random.default_rng(9), [f"w{k}" for k in range(200)]
+    changed = lambda n: " ".join(f"new{i}" if k in at else x for at in [set(r.choice(200, n, False).tolist())] for k, x in enumerate(w) for i in [r.integers(0, 99)])
+    texts = [" ".join(w), *(changed(n) for n in (1, 2, 3, 4, 8, 9, 10, 11)), "a b c d", "A b c d", "a b c", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {x["doc_id"]: x for x in minhash.near_duplicates(df, shingle=5).collect()}
+    sets = [fives(t) for t in texts]
+    assert [out[i]["component_id"] for i in range(len(texts))] == components_of(sets) != components_of([shingles(t) for t in texts])
+    assert [out[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
+
+
 def test_anchors_remove_repeated_windows(docs, empty):
     first = {}
     tokens = {i: WORD.findall(t or "") for i, t in TEXTS.items()}

@@ -108,14 +108,17 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text")]
 
 
-def _sketch(batches):
-    for batch in batches:
-        n, keys, sigs = [], [], []
-        for s in shingle_sets(_texts(batch)):
-            n.append(s.size)
-            keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.size else None)
-            sigs.append(signature(s).tobytes() if s.size else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "same", "sig"])
+def _sketcher(shingle: int):
+    def sketch(batches):
+        for batch in batches:
+            n, keys, sigs = [], [], []
+            for s in shingle_sets(_texts(batch), shingle):
+                n.append(s.size)
+                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.size else None)
+                sigs.append(signature(s).tobytes() if s.size else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "same", "sig"])
+
+    return sketch
 
 
 def _bands(batches):
@@ -130,9 +133,12 @@ def _bands(batches):
         yield pa.RecordBatch.from_arrays([pa.array(mix(key).view(np.int64).ravel()), pa.array(np.repeat(ids, BANDS))], ["bucket", "id"])
 
 
-def _sets(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in shingle_sets(_texts(batch))], pa.binary())], ["id", "set"])
+def _set_maker(shingle: int):
+    def sets(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in shingle_sets(_texts(batch), shingle)], pa.binary())], ["id", "set"])
+
+    return sets
 
 
 def _pruner(threshold: float, miss: float):
@@ -168,11 +174,11 @@ def _verifier(percent: int):
     return verify
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
     Words are runs of characters other than white space, A-Z lower-cased; a document's
-    set holds its distinct 2-word shingles, or its whole sequence if it has fewer words.
+    set holds its distinct shingles of `shingle` words, or its whole sequence if it has fewer words.
     Null, empty and blank texts have an empty set and link with nothing. Rows with a null
     id link with nothing (component null, kept true); rows that repeat an id share its
     component; an empty table gives no rows; other columns are ignored.
@@ -180,7 +186,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-4, id_c
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = scratch.save(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, same binary, sig binary"), "sketches")
+    rows = scratch.save(docs.mapInArrow(_sketcher(shingle), "doc_id long, n_shingles long, same binary, sig binary"), "sketches")
     classes = rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("id"))
     classes = scratch.save(classes, "classes")  # all exact copies stand for one another from here on
     sigs = rows.join(classes.withColumnRenamed("same", "s"), (F.col("doc_id") == F.col("id")) & (F.col("same") == F.col("s"))).dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("n"), "sig")
@@ -197,7 +203,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-4, id_c
         pairs = pairs.join(sigs.toDF("u", "sig_u"), "u").join(sigs.toDF("v", "sig_v"), "v")
         pairs = scratch.save(pairs.mapInArrow(_pruner(percent / 100, miss), "u long, v long"), f"{name}-alive")
         ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-        sets = texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"])
+        sets = texts.join(ids, "id", "left_semi").mapInArrow(_set_maker(shingle), "id long, set binary").dropDuplicates(["id"])
         sets = scratch.save(sets, f"{name}-sets")
         out = pairs.join(sets.toDF("u", "set_u"), "u").join(sets.toDF("v", "set_v"), "v")
         return scratch.save(out.mapInArrow(_verifier(percent), "u long, v long"), f"{name}-links")
