@@ -310,6 +310,21 @@ def test_crf_learns_languages_and_switches(spark, empty):
     assert crf.identify_documents(empty).count() == 0
 
 
+def test_crf_reads_long_runs_to_their_end(spark):
+    r = np.random.default_rng(12)
+    sounds = {"aa": ["ka", "to", "mi"], "bb": ["sch", "ung", "er"]}
+    word = lambda lang, n: "".join(r.choice(sounds[lang], n))
+    tagger = crf.fit([(" ".join(word(lang, r.integers(1, 4)) for _ in range(30)), lang) for _ in range(60) for lang in sounds])
+    run = word("aa", 20)[:40] + word("bb", 8000)
+    labels = tagger.label_words(f"1{run} {word('aa', 2)}")
+    assert (labels[0][0], labels[0][1], labels[-2][1]) == (1, 41, 1 + len(run)) and all(a[1] == b[0] for a, b in zip(labels, labels[1:-1]))
+    assert labels[0][2] == labels[-1][2] == "aa" and np.mean([x[2] == "bb" for x in labels[1:-1]]) > 0.95
+    df = spark.createDataFrame([(0, run), (1, run[:40]), (2, run[:40] + word("aa", 900))], "doc_id long, text string")
+    assert [x["lang_pred"] for x in crf.identify(df, tagger).orderBy("doc_id").collect()] == ["bb", "aa", "aa"]
+    heads = [np.sort(crf.features([run[:40] + tail], {})[0]).tolist() for tail in ("", "er", "ka")]
+    assert heads[0] != heads[1] != heads[2]
+
+
 def test_forward_backward_equals_enumeration():
     from itertools import product
 

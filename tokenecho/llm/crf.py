@@ -21,7 +21,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import U64, mix, powers, ship
 
-WORD = re.compile(r"[^\W\d_]+")
+#: A word: a run of letters; longer runs, as in unspaced scripts, are cut into consecutive words of 40 letters.
+WORD = re.compile(r"[^\W\d_]{1,40}")
 BUCKETS = 1 << 16
 #: Labelled rows that the model is fitted on, at most; words taken from each.
 SAMPLE, STRETCH = 3000, 96
@@ -36,9 +37,8 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
     Prefixes and suffixes of 1 to 4 letters, bigrams and trigrams with the word's borders,
     the word itself, its language in the lexicon, and a constant.
     """
-    cut = [w[:40] for w in words]
-    code = np.frombuffer(("^" + "$^".join(cut) + "$").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    size = np.array([len(w) for w in cut], np.int64)
+    code = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.array([len(w) for w in words], np.int64)
     start = np.cumsum(size + 2) - size - 1  # first letters
     end, word = start + size, np.repeat(np.arange(size.size), size + 2)
     key, of = [np.zeros(size.size, np.uint64)], [np.arange(size.size)]
