@@ -206,6 +206,17 @@ def test_minhash_shingles_of_five_words(spark):
     assert [out[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
 
 
+def test_minhash_links_all_texts_of_a_repeated_id(spark):
+    rows = []
+    for k in range(8):  # ids 10k, each with two texts, and a near copy of either
+        a, b = prose(400 + k, 60), prose(500 + k, 60)
+        rows += [(10 * k, a), (10 * k, b), (10 * k + 1, a + " tail"), (10 * k + 2, b + " tail"), (10 * k + 3, prose(600 + k, 60))]
+    for parts in (1, 5):
+        out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert len(out) == len(rows)
+        assert all(x["component_id"] == (x["doc_id"] if x["doc_id"] % 10 == 3 else x["doc_id"] // 10 * 10) for x in out)
+
+
 def test_anchors_remove_repeated_windows(docs, empty):
     first = {}
     tokens = {i: WORD.findall(t or "") for i, t in TEXTS.items()}

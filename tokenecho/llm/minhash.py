@@ -1,6 +1,6 @@
 """Near-duplicate documents: banded MinHash with sequential Bayesian verification.
 
-Documents with equal shingle sets form a class; signatures of classes are cut into
+Documents with equal shingle sets form a class, named by a hash; signatures of classes are cut into
 bands, and classes that share a band are candidates. Signatures of a candidate pair are
 compared batch by batch; a pair is pruned once the posterior probability that its
 similarity reaches the threshold (uniform prior) falls below the chosen miss
@@ -136,7 +136,9 @@ def _bands(batches):
 def _set_maker(shingle: int):
     def sets(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in shingle_sets(_texts(batch), shingle)], pa.binary())], ["id", "set"])
+            own = [s.tobytes() for s in shingle_sets(_texts(batch), shingle)]
+            at = pa.array([i for i, (s, x) in enumerate(zip(own, batch.column("same"))) if hashlib.blake2b(s, digest_size=16).digest() == x.as_py()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(own, pa.binary()).take(at)], ["id", "set"])
 
     return sets
 
@@ -187,9 +189,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-4, id_c
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = scratch.save(docs.mapInArrow(_sketcher(shingle), "doc_id long, n_shingles long, same binary, sig binary"), "sketches")
-    classes = rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("id"))
+    classes = rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("least")).withColumn("id", F.xxhash64("same"))
     classes = scratch.save(classes, "classes")  # all exact copies stand for one another from here on
-    sigs = rows.join(classes.withColumnRenamed("same", "s"), (F.col("doc_id") == F.col("id")) & (F.col("same") == F.col("s"))).dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("n"), "sig")
+    sigs = rows.join(classes.withColumnRenamed("same", "s"), (F.col("doc_id") == F.col("least")) & (F.col("same") == F.col("s"))).dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("n"), "sig")
     sigs = scratch.save(sigs, "signatures")
 
     whole, sigs = sigs, sigs.select("id", "sig")
@@ -197,20 +199,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-4, id_c
     heads = buckets.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = scratch.save(buckets.join(heads, "bucket"), "buckets")  # only buckets with several classes
 
-    texts = docs.withColumnRenamed("doc_id", "id")
+    # classes that share a document's id are linked
+    owned = rows.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", F.xxhash64("same").alias("u"))
+    shared = owned.groupBy("doc_id").agg(F.min("u").alias("v"), F.max("u").alias("other")).where("v <> other").drop("other")
+    shared = owned.join(shared, "doc_id").where("u <> v").select("u", "v").distinct()
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         pairs = pairs.join(sigs.toDF("u", "sig_u"), "u").join(sigs.toDF("v", "sig_v"), "v")
         pairs = scratch.save(pairs.mapInArrow(_pruner(percent / 100, miss), "u long, v long"), f"{name}-alive")
         ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-        sets = texts.join(ids, "id", "left_semi").mapInArrow(_set_maker(shingle), "id long, set binary").dropDuplicates(["id"])
+        ids = ids.join(classes, "id").withColumnRenamed("least", "doc_id")
+        sets = docs.join(ids, "doc_id").select("id", "same", "text").mapInArrow(_set_maker(shingle), "id long, set binary").dropDuplicates(["id"])
         sets = scratch.save(sets, f"{name}-sets")
         out = pairs.join(sets.toDF("u", "set_u"), "u").join(sets.toDF("v", "set_v"), "v")
         return scratch.save(out.mapInArrow(_verifier(percent), "u long, v long"), f"{name}-links")
 
     first = buckets.where("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct()
     first = scratch.save(first, "pairs")
-    links = confirmed(first, "star")
+    links = confirmed(first, "star").union(shared)
     comp = scratch.save(components(scratch, links, "cc1"), "components1")
 
     # what is left: classes of one bucket that are in different components, but for pairs already tried
@@ -236,7 +242,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-4, id_c
         comp = comp.unionByName(lone).join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
         comp = scratch.save(comp, "components2")
 
-    named = classes.join(comp, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
+    named = classes.join(comp, "id", "left").select("same", "least", F.coalesce("component", "id").alias("c"))
+    named = named.join(named.groupBy("c").agg(F.min("least").alias("component")), "c").select("same", "component")
     out = rows.select("doc_id", "n_shingles", "same").join(named, "same", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
