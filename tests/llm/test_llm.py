@@ -144,6 +144,17 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixture(empty).count() == 0
 
 
+def test_mixing_of_overlapping_sources(spark):
+    rows = [(i, "a" if i < 20 else "b", "one two three four five") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    members = F.when(F.col("doc_id").between(10, 19), F.array(F.lit("a"), F.lit("b"))).otherwise(F.array("source"))
+    out = {r["doc_id"]: r["taken"] for r in mixing.mix(df, members).collect()}
+    targets = {s: round(t) for s, t in mixing.quotas({"a": 100, "b": 50}).items()}
+    flow = mixing.cheapest_flow({("a",): 50, ("a", "b"): 50, ("b",): 50}, targets)
+    taken = {p: sum(out[i] for i in range(k, k + 10)) for p, k in ((("a",), 0), (("a", "b"), 10), (("b",), 20))}
+    assert taken == flow and sum(flow.values()) == sum(targets.values()) and all(0 <= x <= 10 for x in out.values())
+
+
 def test_min_cost_flow_spreads_before_it_repeats():
     flow = mixing.cheapest_flow({("a",): 10, ("a", "b"): 10, ("b",): 10}, {"a": 15, "b": 15})
     assert flow == {("a",): 10, ("a", "b"): 10, ("b",): 10}
