@@ -342,7 +342,7 @@ def test_crf_reads_long_runs_to_their_end(spark):
     assert (labels[0][0], labels[0][1], labels[-2][1]) == (1, 41, 1 + len(run)) and all(a[1] == b[0] for a, b in zip(labels, labels[1:-1]))
     assert labels[0][2] == labels[-1][2] == "aa" and np.mean([x[2] == "bb" for x in labels[1:-1]]) > 0.95
     df = spark.createDataFrame([(0, run), (1, run[:40]), (2, run[:40] + word("aa", 900))], "doc_id long, text string")
-    assert [x["lang_pred"] for x in crf.identify(df, tagger).orderBy("doc_id").collect()] == ["bb", "aa", "aa"]
+    assert [x["language_found"]["lang_pred"] for x in crf.identify(df, tagger).orderBy("doc_id").collect()] == ["bb", "aa", "aa"]
     heads = [np.sort(crf.features([run[:40] + tail], {})[0]).tolist() for tail in ("", "er", "ka")]
     assert heads[0] != heads[1] != heads[2]
 
@@ -356,6 +356,28 @@ def test_forward_backward_equals_enumeration():
     expected = [[sum(w for y, w in weight.items() if y[t] == k) / sum(weight.values()) for k in (0, 1)] for t in range(4)]
     got = crf.forward_backward(scores, np.array([0]), np.array([4]), trans, first)
     assert np.allclose(got, expected)
+    fwd, back, local = crf.messages(scores, np.array([0]), np.array([4]), trans, first)
+    for t in (1, 2, 3):
+        both = [[sum(w for y, w in weight.items() if (y[t - 1], y[t]) == (a, b)) / sum(weight.values()) for b in (0, 1)] for a in (0, 1)]
+        assert np.allclose(crf.pairs(fwd, back, local, trans, np.array([t]))[0], both)
+
+
+def test_crf_deals_its_sample_and_keeps_other_columns(spark):
+    assert crf.shares({"a": 5, "b": 1000, "c": 900}, 100) == {"a": 5, "c": 47, "b": 48}
+    r = np.random.default_rng(3)
+    sounds = {"aa": ["ka", "to", "mi"], "bb": ["sch", "ung", "er"], "rare": ["quix", "zy"]}
+    text = lambda lang, n: " ".join("".join(r.choice(sounds[lang], 3)) for _ in range(n))
+    rows = [(i, text(lang, 8), lang, i, "s") for i in range(3000) for lang in ["rare" if i % 500 == 0 else ("aa", "bb")[i % 2]]]
+    df = spark.createDataFrame([*rows, (-1, text("rare", 30000), None, -1, "s")], "doc_id long, text string, lang string, score long, lang_pred string")
+    tagger = crf.fit_on(df, sample=60)
+    assert tagger.langs == ["aa", "bb", "rare"]
+    out = crf.identify(df, tagger)
+    assert out.columns == [*df.columns, "language_found"] and out.where("score <> doc_id OR lang_pred <> 's'").count() == 0
+    assert out.where("doc_id = -1").first()["language_found"]["lang_pred"] == "rare"
+    with pytest.raises(ValueError):
+        crf.identify(df.withColumn("Language_Found", F.lit(1)), tagger)
+    again = crf.fit_on(df.repartition(7), sample=60)
+    assert np.array_equal(again.weights, tagger.weights) and np.array_equal(again.trans, tagger.trans)
 
 
 def test_shards(docs, empty):

@@ -3,32 +3,37 @@
 Each word scores the languages by affix, character n-gram and lexicon features; learned
 transitions tie neighbouring words; forward-backward gives every word's probability of
 each language, so code-switched text is labelled word by word. A document's language is
-the one with the largest sum over its words. Training maximises the conditional
-likelihood on stretches of labelled documents, half of them spliced from two documents,
-from which the transitions between languages are learned.
+the one with the largest sum over its words. Training climbs the conditional likelihood
+with the exact marginals of words and of neighbouring pairs. Its sequences are all
+stretches of the sampled documents, half of them spliced with a stretch of another, from
+which the transitions between languages are learned.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 from .common import U64, mix, powers, ship
 
 #: A word: a run of letters; longer runs, as in unspaced scripts, are cut into consecutive words of 40 letters.
 WORD = re.compile(r"[^\W\d_]{1,40}")
 BUCKETS = 1 << 16
-#: Labelled rows that the model is fitted on, at most; words taken from each.
-SAMPLE, STRETCH = 3000, 96
-LEXICON = 20_000
-#: Words that a worker labels at once, and word scores that it keeps.
-AT_ONCE, CACHE = 400_000, 200_000
+#: Labelled rows that the model is fitted on, at most, whole texts of each; words of a training sequence.
+SAMPLE, SEQUENCE = 2000, 96
+#: Bytes of text that a worker labels at once, words that it looks up at once, and word scores that it keeps.
+AT_ONCE, WORDS, CACHE = 1 << 20, 100_000, 200_000
+#: What identify() adds to a document.
+FOUND = "struct<lang_pred:string,score:double,certainty:double>"
 
 
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,8 +73,8 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
     return (mix(np.concatenate(key)) % U64(BUCKETS)).astype(np.int64), np.concatenate(of)
 
 
-def forward_backward(scores: np.ndarray, start: np.ndarray, size: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Probabilities of each label at each position of many sequences, laid end to end.
+def messages(scores: np.ndarray, start: np.ndarray, size: np.ndarray, trans: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward messages, each scaled to sum 1, and exp(scores), of sequences laid end to end.
 
     scores (words, labels); sequences start at `start` and have `size` words, all at least 1.
     All sequences advance together; shorter ones drop out.
@@ -78,7 +83,7 @@ def forward_backward(scores: np.ndarray, start: np.ndarray, size: np.ndarray, tr
     start, size = start[order], size[order]
     move = np.exp(trans - trans.max())
     local = np.exp(scores - scores.max(axis=1, keepdims=True))
-    fwd = np.empty_like(local)
+    fwd, back = np.empty_like(local), np.full_like(local, 1 / scores.shape[1])
     now = local[start] * np.exp(first - first.max())
     fwd[start] = now = now / now.sum(axis=1, keepdims=True)
     active = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")  # sequences with a word t
@@ -88,16 +93,36 @@ def forward_backward(scores: np.ndarray, start: np.ndarray, size: np.ndarray, tr
         now = (now[:n] @ move) * local[at]
         now /= now.sum(axis=1, keepdims=True)
         fwd[at] = now
-    back = np.ones((size.size, scores.shape[1]), local.dtype)
     for t in range(size[0] - 1, 0, -1):
-        n = active[t]
-        at = start[:n] + t
-        behind = (back[:n] * local[at]) @ move.T
-        back[:n] = behind / behind.sum(axis=1, keepdims=True)
-        fwd[at - 1] *= back[:n]
+        at = start[: active[t]] + t
+        behind = (back[at] * local[at]) @ move.T
+        back[at - 1] = behind / behind.sum(axis=1, keepdims=True)
+    return fwd, back, local
+
+
+def forward_backward(scores: np.ndarray, start: np.ndarray, size: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Probabilities of each label at each position of sequences as in messages()."""
+    fwd, back, _ = messages(scores, start, size, trans, first)
+    fwd *= back
     return fwd / fwd.sum(axis=1, keepdims=True)
 
 
+def pairs(fwd: np.ndarray, back: np.ndarray, local: np.ndarray, trans: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Probabilities of the labels of words at-1 and at together: (words, label before, label)."""
+    joint = fwd[at - 1][:, :, None] * np.exp(trans - trans.max())[None] * (local[at] * back[at])[:, None, :]
+    return joint / joint.sum(axis=(1, 2), keepdims=True)
+
+
+def words_in(text: str) -> Iterator[list[str]]:
+    """The lower-cased words of a text, in lists of bounded length."""
+    if len(text) <= AT_ONCE:
+        yield WORD.findall(text.lower())
+    else:
+        found = (m[0].lower() for m in WORD.finditer(text))
+        while some := list(islice(found, WORDS)):
+            yield some
+
+
 class Tagger:
     """Weights of a fitted field, and the scores of the words seen last."""
 
@@ -130,57 +155,47 @@ class Tagger:
             index.update(zip(part, range(n, n + len(part))))
         return self.scores[list(map(index.__getitem__, words))]
 
-    def probabilities(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """(words, languages) for each list of lower-cased words."""
-        out: list[np.ndarray] = [np.empty((0, len(self.langs)), np.float32)] * len(texts)
-        lo = 0
-        while lo < len(texts):
-            hi, words = lo, []
-            while hi < len(texts) and (hi == lo or len(words) + len(texts[hi]) <= AT_ONCE):
-                words += texts[hi]
-                hi += 1
-            size = np.array([len(x) for x in texts[lo:hi]], np.int64)
-            some = np.flatnonzero(size)
-            if some.size:
-                at = np.cumsum(size) - size
-                p = forward_backward(self.look_up(words), at[some], size[some], self.trans, self.first)
-                for k in some.tolist():
-                    out[lo + k] = p[at[k] : at[k] + size[k]]
-            lo = hi
-        return out
+    def probabilities(self, texts: Iterable[Iterable[list[str]]]) -> list[np.ndarray]:
+        """(words, languages) for each text, given as lists of its lower-cased words."""
+        score = [np.concatenate([self.scores[:0], *map(self.look_up, lists)]) for lists in texts]
+        size = np.array([len(x) for x in score], np.int64)
+        at, some = np.cumsum(size) - size, np.flatnonzero(size)
+        if some.size:
+            p = forward_backward(np.concatenate(score), at[some], size[some], self.trans, self.first)
+            return [p[a : a + n] for a, n in zip(at.tolist(), size.tolist())]
+        return score
 
     def label_words(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, language, probability) of each word of a text."""
         found = list(WORD.finditer(text))
-        p = self.probabilities([[m[0].lower() for m in found]])[0]
+        p = self.probabilities([[[m[0].lower() for m in found]]])[0]
         return [(m.start(), m.end(), self.langs[k], float(q[k])) for m, q in zip(found, p) for k in [int(q.argmax())]]
 
 
-def fit(rows: list[tuple[str, str]], epochs: int = 5, rate: float = 0.2, seed: int = 5) -> Tagger | None:
-    """rows: (text, language). None if no row has a word."""
+def fit(rows: Iterable[tuple[str, str]], epochs: int = 3, rate: float = 0.2, seed: int = 5) -> Tagger | None:
+    """rows: (text, language). None if no row has a word. Texts are kept as numbers of words only."""
     rng = np.random.default_rng(seed)
-    docs = [(WORD.findall(t.lower()), lang) for t, lang in rows]
-    docs = [(w, lang) for w, lang in docs if w]
+    known: dict[str, int] = {}
+    docs = []
+    for text, lang in rows:
+        w = [np.array([known.setdefault(x, len(known)) for x in some], np.int32) for some in words_in(text)]
+        w = np.concatenate(w) if w else np.empty(0, np.int32)
+        if w.size:
+            docs.append((w, lang))
     if not docs:
         return None
-    langs = sorted({lang for _, lang in docs})
+    every, langs = list(known), sorted({lang for _, lang in docs})
     label = {x: i for i, x in enumerate(langs)}
-    uses: dict[str, Counter] = defaultdict(Counter)
+    uses: dict[int, Counter] = defaultdict(Counter)
     for w, lang in docs:
-        for x in set(w):
+        for x in np.unique(w).tolist():
             uses[x][label[lang]] += 1
-    common = sorted((x for x, c in uses.items() if c.total() >= 5), key=lambda x: (-uses[x].total(), x))[:LEXICON]
-    lexicon = {x: top for x in common for top, n in [uses[x].most_common(1)[0]] if n >= 0.8 * uses[x].total()}
+    lexicon = {every[x]: top for x, c in sorted(uses.items()) if c.total() >= 5 for top, n in [min(c.items(), key=lambda y: (-y[1], y[0]))] if n >= 0.8 * c.total()}
 
     n = len(langs)
     weights, trans, first = np.zeros((BUCKETS, n)), np.zeros((n, n)), np.zeros(n)
     power = [np.full_like(x, 1e-6) for x in (weights, trans, first)]
-    cut = []
-    for w, lang in docs:
-        at = int(rng.integers(0, max(1, len(w) - STRETCH + 1)))
-        cut.append((w[at : at + STRETCH], label[lang]))
-    every = sorted({x for w, _ in cut for x in w})
-    known = {x: i for i, x in enumerate(every)}
+    cut = [(w[at : at + SEQUENCE], label[lang]) for w, lang in docs for at in range(0, w.size, SEQUENCE)]
     flats, of = features(every, lexicon)
     flats = flats[np.argsort(of, kind="stable")]
     many = np.bincount(of, minlength=len(every))
@@ -188,90 +203,128 @@ def fit(rows: list[tuple[str, str]], epochs: int = 5, rate: float = 0.2, seed: i
     for _ in range(epochs):
         order = rng.permutation(len(cut))
         for lo in range(0, len(cut), 64):
-            words, gold, size = [], [], []
+            words, gold = [], []
             for k in order[lo : lo + 64].tolist():
                 w, y = cut[k]
+                y = np.full(w.size, y)
                 if rng.random() < 0.5:
                     v, z = cut[int(rng.integers(len(cut)))]
-                    a, b = int(rng.integers(1, len(w) + 1)), int(rng.integers(1, len(v) + 1))
-                    w, y = w[:a] + v[:b], [y] * a + [z] * b
-                else:
-                    y = [y] * len(w)
-                words += w
-                gold += y
-                size.append(len(w))
-            ids = np.array([known[x] for x in words])
-            of = np.repeat(np.arange(len(words)), many[ids])
+                    a, b = int(rng.integers(1, w.size + 1)), int(rng.integers(1, v.size + 1))
+                    w, y = np.concatenate((w[:a], v[:b])), np.concatenate((y[:a], np.full(b, z)))
+                words.append(w)
+                gold.append(y)
+            size = np.array([w.size for w in words])
+            start = np.cumsum(size) - size
+            gold = np.concatenate(gold)
+            ids, word = np.unique(np.concatenate(words), return_inverse=True)  # a word is scored once for all its places
+            of = np.repeat(np.arange(ids.size), many[ids])
             flat = flats[np.repeat(begin[ids] - np.cumsum(many[ids]) + many[ids], many[ids]) + np.arange(of.size)]
-            score = np.stack([np.bincount(of, weights[flat, c], len(words)) for c in range(n)], axis=1)
-            sizes = np.array(size)
-            start = np.cumsum(sizes) - sizes
-            p = forward_backward(score, start, sizes, trans, first)
-            y = np.zeros((len(words), n))
-            y[np.arange(len(words)), gold] = 1
+            score = np.stack([np.bincount(of, weights[flat, c], ids.size) for c in range(n)], axis=1)[word]
+            fwd, back, local = messages(score, start, size, trans, first)
+            p = fwd * back
+            p /= p.sum(axis=1, keepdims=True)
+            y = np.zeros((gold.size, n))
+            y[np.arange(gold.size), gold] = 1
             diff = y - p
-            # expected transitions, with the neighbour's probabilities under the current field
-            inner = np.ones(len(words), bool)
+            inner = np.ones(gold.size, bool)
             inner[start] = False
             j = np.flatnonzero(inner)
-            joint = p[j - 1][:, :, None] * np.exp(trans)[None] * p[j][:, None, :] / np.maximum(1e-9, (p[j - 1] @ np.exp(trans))[:, None, :])
-            joint /= joint.sum(axis=(1, 2), keepdims=True)
+            move = y[j - 1].T @ y[j] - pairs(fwd, back, local, trans, j).sum(axis=0)
             used, at = np.unique(flat, return_inverse=True)
-            step = np.stack([np.bincount(at, diff[of, c], used.size) for c in range(n)], axis=1) - 1e-3 * weights[used]
+            by_word = [np.bincount(word, diff[:, c], ids.size) for c in range(n)]
+            step = np.stack([np.bincount(at, by_word[c][of], used.size) for c in range(n)], axis=1) - 1e-3 * weights[used]
             power[0][used] += step**2
             weights[used] += rate * step / np.sqrt(power[0][used])
-            for x, g, q in ((trans, y[j - 1].T @ y[j] - joint.sum(axis=0), power[1]), (first, diff[start].sum(axis=0), power[2])):
+            for x, g, q in ((trans, move, power[1]), (first, diff[start].sum(axis=0), power[2])):
                 q += g**2
                 x += rate * g / np.sqrt(q)
     return Tagger(langs, weights.astype(np.float32), trans.astype(np.float32), first.astype(np.float32), lexicon)
 
 
-def fit_on(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Tagger | None:
-    """Fits on at most `sample` rows, those first by a hash, of the rows with a language.
+def shares(rows: dict[str, int], sample: int) -> dict[str, int]:
+    """Rows to take of each language: as even as can be, all of those that have fewer."""
+    out, left = {}, sample
+    for k, (lang, n) in enumerate(sorted(rows.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, left // (len(rows) - k))
+        left -= out[lang]
+    return out
+
 
-    Rows whose crc32(id as text) mod 4 is 2 are held out; so are rows with a null id.
+def fit_on(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Tagger | None:
+    """Fits on at most `sample` rows with a language, dealt evenly over the languages; whole texts.
+
+    Rows whose crc32(id as text) mod 4 is 2 are held out, as are rows with a null id. Rows
+    below a threshold of a hash of the id are drawn, about twice as many as are wanted of a
+    language, and of these the first in the order of the hash; so no other text is moved,
+    and reruns agree. Rows that tie (repeated ids) are taken in the order of their texts.
+    An empty table, or one without labelled words, gives None. The number of languages is
+    taken to be small; of more than `sample`, the rarest are left out.
     """
     remainder = F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
     rows = docs.where((remainder != 2) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.orderBy(F.xxhash64(F.lit(11), id_col), id_col).select(text_col, F.col(lang_col).cast("string")).limit(sample)
-    return fit([(r[0], r[1]) for r in rows.toLocalIterator()])
-
-
-def identify(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, with lang_pred and score (the mean probability of that language over words).
-
-    `und` with score 0 where the text is null or has no letter, or nothing could be learned.
-    Rows with null or repeated ids each get their own result; an empty table stays empty.
+    rows = rows.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.shiftrightunsigned(F.xxhash64(F.lit(11), id_col), 1).alias("draw"))
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(sample).collect()}
+    if not counts:
+        return None
+    quota = shares(counts, sample)
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame([(x, q, min(2**63 - 1, (2 * q + 50) * 2**63 // counts[x])) for x, q in quota.items()], "l string, quota int, below long")
+    rows = rows.join(F.broadcast(wanted), "l").where("draw <= below")  # one row for each language
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy("draw", "t"))).where("rank <= quota")
+    return fit((r[1], r[2]) for r in sorted(((r["draw"], r["t"], r["l"]) for r in rows.select("draw", "t", "l").toLocalIterator())))
+
+
+def _stretches(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about AT_ONCE bytes of text each; a longer text makes a slice of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = np.cumsum(size) // AT_ONCE
+    cut = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(size)]
+    for a, z in zip(cut, cut[1:]):
+        if z > a:
+            yield batch.slice(a, z - a)
+
+
+def identify(docs: DataFrame, tagger: Tagger | None, text_col: str = "text", out: str = "language_found") -> DataFrame:
+    """All columns of docs and the struct `out`: lang_pred, score (the mean probability of that
+    language over the words) and certainty (the mean over words of their largest probability).
+
+    `und` with 0 and 0 where the text is null or has no letter, or nothing could be learned.
+    Rows with null or repeated ids each get their own result; of tied languages the first in
+    order is given; an empty table stays empty. A column of docs named `out`, whatever its
+    case, is an error; other names of docs do not matter. Long texts are read to their end.
     """
+    if out.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the documents have a column {out} already")
     spark = docs.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(tagger)  # at most BUCKETS rows of weights and LEXICON words
-    taken = {"lang_pred", "score"}
-    docs = docs.select(*[c for c in docs.columns if c not in taken])
-    names = docs.columns
+    sent = spark.sparkContext.broadcast(tagger)  # BUCKETS rows of weights, and words of the bounded sample
+    place, names = docs.columns.index(text_col), [*docs.columns, out]
 
     def tag(batches):
         tagger = sent.value
         for batch in batches:
-            texts = [WORD.findall(t.lower()) if t and tagger else [] for t in batch.column(text_col).to_pylist()]
-            langs, scores = [], []
-            for p in tagger.probabilities(texts) if tagger else [()] * len(texts):
-                if len(p):
-                    mean = p.mean(axis=0, dtype=np.float64)
-                    langs.append(tagger.langs[int(mean.argmax())])
-                    scores.append(min(1.0, float(mean.max())))
-                else:
-                    langs.append("und")
-                    scores.append(0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
-
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(tag, schema)
+            for part in _stretches(batch, text_col):
+                langs, scores, sure = [], [], []
+                texts = [words_in(t.as_py()) if t.is_valid and tagger else () for t in part.column(place)]
+                for p in tagger.probabilities(texts) if tagger else [()] * len(texts):
+                    if len(p):
+                        mean = p.mean(axis=0, dtype=np.float64)
+                        langs.append(tagger.langs[int(mean.argmax())])
+                        scores.append(min(1.0, float(mean.max())))
+                        sure.append(min(1.0, float(p.max(axis=1).mean(dtype=np.float64))))
+                    else:
+                        langs.append("und")
+                        scores.append(0.0)
+                        sure.append(0.0)
+                found = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())], ["lang_pred", "score", "certainty"])
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names)
+
+    kind = spark.createDataFrame([], f"x {FOUND}").schema["x"].dataType
+    return docs.mapInArrow(tag, StructType([*docs.schema.fields, StructField(out, kind)]))
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score: a field fitted on the rows that are not held out, applied to all."""
-    tagger = fit_on(docs)
-    out = identify(docs.select("doc_id", "text"), tagger)
+    """doc_id, held_out, lang_pred, score and certainty: a field fitted on the rows that are not held out, applied to all."""
+    out = identify(docs.select("doc_id", "text"), fit_on(docs))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "lang_pred", "score")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "language_found.*")
