@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -162,7 +163,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     e, before = scratch.save(e, f"{name}-0"), None
-    for k in range(1, 60):
+    for k in count(1):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Scratch, components, mix
+from .groups import by_group, stretches
 
 #: At cosine 0.95 a pair meets with probability over 0.99, at 0.98 nearly always.
 TABLES, PROBES, SCALE = 12, 6, 0.7
@@ -91,40 +92,6 @@ def cells(unit: np.ndarray, planes: np.ndarray, probes: int = PROBES) -> tuple[n
     return np.stack(home, axis=1), np.stack(look, axis=1)
 
 
-def stretches(members: DataFrame, key: str) -> DataFrame:
-    """members(key, n, id, ...) with (i, j, sub): stretches of a group of n, in pairs."""
-    parts = F.ceil(F.col("n") / F.lit(STRETCH)).cast("int")
-    out = members.withColumn("parts", parts).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    out = out.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return out.withColumn("i", F.least("sub", "with")).withColumn("j", F.greatest("sub", "with")).drop("parts", "with", "n")
-
-
-def _by_group(batches, key: list[str]):
-    """Tables of consecutive rows with one key; a group may straddle batches."""
-    held: list[pa.RecordBatch] = []
-
-    def last_key(b: pa.RecordBatch, row: int) -> tuple:
-        return tuple(b.column(k)[row].as_py() for k in key)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        change = np.zeros(batch.num_rows, bool)
-        for k in key:
-            v = batch.column(k).to_numpy(zero_copy_only=False)
-            change[1:] |= v[1:] != v[:-1]
-        change[0] = bool(held) and last_key(held[-1], held[-1].num_rows - 1) != last_key(batch, 0)
-        lo = 0
-        for at in np.flatnonzero(change).tolist():
-            if at > lo:
-                held.append(batch.slice(lo, at - lo))
-            yield pa.Table.from_batches(held)
-            held, lo = [], at
-        held.append(batch.slice(lo))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _linked(t: pa.Table, cosine: float) -> np.ndarray:
     x = np.frombuffer(b"".join(t["vec"].to_pylist()), np.float32).reshape(t.num_rows, -1).astype(np.float64)
     x /= np.sqrt((x * x).sum(axis=1))[:, None]
@@ -135,7 +102,7 @@ def _linked(t: pa.Table, cosine: float) -> np.ndarray:
 
 def _forest(cosine: float):
     def forest(batches):
-        for t in _by_group(batches, ["cell", "i", "j"]):
+        for t in by_group(batches, ["cell", "i", "j"]):
             link = _linked(t, cosine)
             home = t["home"].to_numpy()
             link &= home[:, None] | home
@@ -156,7 +123,7 @@ def _forest(cosine: float):
 
 def _counts(cosine: float):
     def counts(batches):
-        for t in _by_group(batches, ["component", "i", "j"]):
+        for t in by_group(batches, ["component", "i", "j"]):
             link, sub = _linked(t, cosine), t["sub"].to_numpy()
             if t["i"][0].as_py() != t["j"][0].as_py():
                 link &= sub[:, None] != sub
@@ -215,13 +182,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     members = members.groupBy("cell", "id").agg(F.max("home").alias("home"))
     live = members.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where("n > 1 AND any_home").select("cell", "n")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = stretches(members.join(live, "cell"), "cell").join(classes.select("id", "vec"), "id").select("cell", "i", "j", "id", "home", "vec")
+    parts_of = lambda: F.ceil(F.col("n") / F.lit(STRETCH))
+    met = stretches(members.join(live, "cell"), parts_of()).join(classes.select("id", "vec"), "id").select("cell", "i", "j", "id", "home", "vec")
     met = met.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     edges = met.mapInArrow(_forest(cosine), "u long, v long")
     comp = scratch.save(components(scratch, edges), "components")
 
     sized = comp.join(comp.groupBy("component").agg(F.count("*").alias("n")), "component")
-    inside = stretches(sized, "component").join(classes.select("id", "vec", "w"), "id").select("component", "i", "j", "sub", "id", "w", "vec")
+    inside = stretches(sized, parts_of()).join(classes.select("id", "vec", "w"), "id").select("component", "i", "j", "sub", "id", "w", "vec")
     inside = inside.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
     links = inside.mapInArrow(_counts(cosine), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 

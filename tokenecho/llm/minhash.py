@@ -1,22 +1,21 @@
 """Near-duplicate documents: banded MinHash with sequential Bayesian verification.
 
-Documents with equal shingle sets form a class, named by a hash; signatures of classes are cut into
-bands, and classes that share a band are candidates. Signatures of a candidate pair are
-compared batch by batch; a pair is pruned once the posterior probability that its
-similarity reaches the threshold (uniform prior) falls below the chosen miss
-probability. Survivors are verified on their full shingle sets.
-
-In each bucket of a band every class is first paired with the smallest class only.
-Where a bucket still holds several components after that, its classes are compared
-across components, which reaches every link that can join two components. The first
-batch of that comparison is part of the join itself: set sizes, and two bits of every
-signature value, so pairs that cannot be links are not even made.
+Documents with equal shingle sets are one class; signatures of classes are cut into
+bands, and classes that share a band are candidates. Their signatures are compared batch
+by batch, and a pair is pruned once the posterior probability that its similarity reaches
+the threshold (uniform prior) falls below the chosen miss probability: first two bits of
+every value, inside the buckets, then whole values. Survivors are verified on full sets.
+
+No pair leaves the task that compares it. A bucket gives a spanning forest of the pairs
+that pass the first batches; the trees that these forests form hold every link. Signatures
+and texts of a tree are dealt to tasks in square stretches of bounded size, which compare
+all its pairs, the most similar first, and verify those that earlier links do not join
+already; they give a spanning forest of links, from which the components follow.
 """
 
 from __future__ import annotations
 
 import hashlib
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, U64, Scratch, components, mix, run_hash, words_of
+from .groups import by_group, reached, stretches, whole_groups
 
 #: 36 bands of 6 values: a pair at similarity 0.8 shares none with probability 2e-5.
 BANDS, ROWS = 36, 6
 HASHES = BANDS * ROWS
-BATCH = 24
-WORDS = -(-HASHES // 64)
-PLANES = [f"p{bit}_{w}" for bit in (0, 1) for w in range(WORDS)]
+#: Values of a batch: whole values, and two-bit values in the words that hold them.
+BATCH, WORDS = 24, -(-HASHES // 64)
+#: Members of a bucket, and members and bytes of sets of a tree, that are compared at once.
+BUCKET, TREE, TREE_BYTES = 4096, 1024, 32_000_000
+#: Groups of up to so many members are compared together.
+SMALL = 32
 _rng = np.random.default_rng(4099)
 _A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
 _B = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -64,44 +67,35 @@ def signature(s: np.ndarray) -> np.ndarray:
     low = np.full(HASHES, 2**64 - 1, dtype=np.uint64)
     for i in range(0, s.size, 512):
         low = np.minimum(low, (s[i : i + 512, None] * _A + _B).min(axis=0))
-    return (mix(low) >> U64(32)).astype(np.uint32)
+    return (mix(low) >> U64(48)).astype(np.uint16)
 
 
-def least_matches(threshold: float, miss: float) -> dict[int, int]:
+def least_matches(threshold: float, miss: float, sizes: list[int], chance: float = 0.0) -> dict[int, int]:
     """For n compared values the fewest matches with P(similarity >= threshold) >= miss.
 
-    With a uniform prior that posterior is P(Binomial(n + 1, threshold) <= matches).
+    The prior is uniform; different values match with probability `chance`.
     """
+    s = (np.arange(4000) + 0.5) / 4000
+    p = s + (1 - s) * chance
     out = {}
-    for n in range(BATCH, HASHES + 1, BATCH):
-        total, m = 0.0, -1
-        while total < miss:
-            m += 1
-            total += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
+    for n in sizes:
+        for m in range(n + 1):
+            w = m * np.log(p) + (n - m) * np.log1p(-p)
+            w = np.exp(w - w.max())
+            if w[s >= threshold].sum() >= miss * w.sum():
+                break
         out[n] = m
     return out
 
 
-def most_differing(threshold: float, miss: float) -> int:
-    """Of all two-bit signature values, how many may differ: more do with probability under miss at the threshold."""
-    p, total, m = 0.75 * (1 - threshold), 0.0, -1
-    while total < 1 - miss:
-        m += 1
-        total += comb(HASHES, m) * p**m * (1 - p) ** (HASHES - m)
-    return m
-
-
 def _planes(batches):
-    """The two lowest bits of signature values, packed into WORDS longs for each of the bits."""
+    """The two lowest bits of signature values, packed into WORDS words for each of the bits."""
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
-        out = [batch.column("id"), batch.column("n")]
-        for bit in (0, 1):
-            plane = np.zeros((len(sig), WORDS * 64), np.uint8)
-            plane[:, :HASHES] = sig >> bit & 1
-            words = np.packbits(plane, axis=1).view(np.int64)
-            out += [pa.array(np.ascontiguousarray(words[:, w])) for w in range(WORDS)]
-        yield pa.RecordBatch.from_arrays(out, ["id", "n", *PLANES])
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
+        plane = np.zeros((len(sig), 2, WORDS * 64), np.uint8)
+        plane[:, 0, :HASHES], plane[:, 1, :HASHES] = sig & 1, sig >> 1 & 1
+        packed = np.packbits(plane.reshape(len(sig), 2 * WORDS * 64), axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array([x.tobytes() for x in packed], pa.binary())], ["id", "n", "planes"])
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -126,52 +120,131 @@ def _bands(batches):
         ids = batch.column("id").to_numpy()
         if not ids.size:
             continue
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(ids.size, BANDS, ROWS).astype(np.uint64)
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(ids.size, BANDS, ROWS).astype(np.uint64)
         key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * U64(0x9E3779B97F4A7C15) + sig[:, :, 0]
         for r in range(1, ROWS):
             key = mix(key) + sig[:, :, r]
         yield pa.RecordBatch.from_arrays([pa.array(mix(key).view(np.int64).ravel()), pa.array(np.repeat(ids, BANDS))], ["bucket", "id"])
 
 
-def _set_maker(shingle: int):
-    def sets(batches):
-        for batch in batches:
-            own = [s.tobytes() for s in shingle_sets(_texts(batch), shingle)]
-            at = pa.array([i for i, (s, x) in enumerate(zip(own, batch.column("same"))) if hashlib.blake2b(s, digest_size=16).digest() == x.as_py()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(own, pa.binary()).take(at)], ["id", "set"])
-
-    return sets
+def _compatible(percent: int):
+    """Pairs of rows of (n, planes) that pass the batches of two-bit values."""
+    sizes = [min(HASHES, 64 * (w + 1)) for w in range(WORDS)]
+    most = [n - m for n, m in least_matches(percent / 100, 1e-4, sizes, 0.25).items()]
+
+    def compatible(n: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent
+        a, b = a[some], b[some]
+        differ = np.zeros(a.size, np.int64)
+        for w in range(WORDS):
+            differ += np.bitwise_count((x[a, w] ^ x[b, w]) | (x[a, WORDS + w] ^ x[b, WORDS + w]))
+            some = differ <= most[w]
+            a, b, differ = a[some], b[some], differ[some]
+        return a, b
+
+    return compatible
+
+
+def _candidates(percent: int):
+    """A spanning forest (u, v) of the pairs in each bucket that pass."""
+    compatible = _compatible(percent)
+
+    def candidates(batches):
+        for t, starts in whole_groups(batches, ["bucket", "i", "j"]):
+            ids, n = t["id"].to_numpy(), t["n"].to_numpy()
+            x = np.frombuffer(b"".join(t["planes"].to_pylist()), np.uint64).reshape(len(ids), -1)
+            size = np.diff(np.append(starts, len(ids)))
+            group = np.repeat(np.arange(size.size), size)
+            label = np.arange(len(ids))
+            rows = np.flatnonzero(size[group] <= SMALL)
+            for lag in range(1, SMALL):
+                rows = rows[rows + lag < len(ids)]
+                rows = rows[group[rows + lag] == group[rows]]
+                if not rows.size:
+                    break
+                label = reached(label, *compatible(n, x, rows, rows + lag))
+            for a, m in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist()):
+                for r in range(a, a + m - 1):
+                    rest = np.arange(r + 1, a + m)
+                    rest = rest[label[rest] != label[r]]
+                    if rest.size:
+                        _join(label[a : a + m], label[r], label[compatible(n, x, np.full(rest.size, r), rest)[1]])
+            u, v = ids, ids[label]
+            some = u != v
+            yield pa.RecordBatch.from_arrays([pa.array(u[some]), pa.array(v[some])], ["u", "v"])
+
+    return candidates
+
+
+def _join(label: np.ndarray, one: int, others: np.ndarray) -> None:
+    """Makes rows with these labels have the smallest of them."""
+    if others.size:
+        every = np.unique(np.append(others, one))
+        label[np.isin(label, every)] = every[0]
+
+
+def _verified(percent: int, miss: float, shingle: int):
+    """A spanning forest (u, v) of the links in each pair of stretches of a tree."""
+    need = least_matches(percent / 100, miss, list(range(BATCH, HASHES + 1, BATCH)))
+
+    def survivors(sig: np.ndarray, n: np.ndarray, across: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows, which stand by size, that pass all batches, the most similar first."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        end = np.searchsorted(n, n * 100 // percent, "right")
+        for r in range(len(n)):
+            rest = np.arange(r + 1, end[r])
+            if across is not None:
+                rest = rest[across[rest] != across[r]]
+            match = np.zeros(rest.size, np.int64)
+            for k in range(0, HASHES, BATCH):
+                if not rest.size:
+                    break
+                match = match + (sig[rest, k : k + BATCH] == sig[r, k : k + BATCH]).sum(axis=1)
+                some = match >= need[k + BATCH]
+                rest, match = rest[some], match[some]
+            if rest.size:
+                out.append((np.full(rest.size, r), rest, match))
+        if not out:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        a, b, match = map(np.concatenate, zip(*out))
+        order = np.argsort(-match, kind="stable")
+        return a[order], b[order]
+
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        i = np.searchsorted(y, x)  # x is no larger
+        both = int((y[np.minimum(i, y.size - 1)] == x).sum())
+        return 100 * both >= percent * (x.size + y.size - both)
 
-
-def _pruner(threshold: float, miss: float):
-    need = least_matches(threshold, miss)
-
-    def prune(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("sig_u", "sig_v"))
-            alive, match = np.arange(len(a)), np.zeros(len(a), int)
-            for n in range(0, HASHES, BATCH):
-                match[alive] += (a[alive, n : n + BATCH] == b[alive, n : n + BATCH]).sum(axis=1)
-                alive = alive[match[alive] >= need[n + BATCH]]
-            yield pa.RecordBatch.from_arrays([batch.column("u").take(pa.array(alive)), batch.column("v").take(pa.array(alive))], ["u", "v"])
-
-    return prune
-
-
-def _verifier(percent: int):
     def verify(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("set_u"), batch.column("set_v")):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = 0
-                if 100 * min(x.size, y.size) >= percent * max(x.size, y.size):
-                    i = np.searchsorted(x, y)
-                    both = int((x[np.minimum(i, x.size - 1)] == y).sum())
-                keep.append(100 * both >= percent * (x.size + y.size - both))
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(keep, pa.bool_())), batch.column("v").filter(pa.array(keep, pa.bool_()))], ["u", "v"])
+        for t in by_group(batches, ["tree", "i", "j"]):
+            texts = t.filter(t["text"].is_valid())
+            t = t.filter(t["sig"].is_valid())
+            order = np.lexsort((t["id"].to_numpy(), t["n"].to_numpy()))
+            t = t.take(pa.array(order))
+            ids, n, sub = t["id"].to_numpy(), t["n"].to_numpy(), t["sub"].to_numpy()
+            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(ids), HASHES)
+            a, b = survivors(sig, n, None if not t.num_rows or t["i"][0].as_py() == t["j"][0].as_py() else sub)
+            if not a.size:
+                continue
+            keys = t["same"].to_pylist()
+            wanted = {keys[k] for k in np.unique(np.concatenate((a, b))).tolist()}
+            sets = {key: s for s in shingle_sets(_texts(texts), shingle) for key in [hashlib.blake2b(s.tobytes(), digest_size=16).digest()] if key in wanted}
+            root = list(range(len(ids)))
+
+            def find(k: int) -> int:
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            us, vs = [], []
+            for k, m in zip(a.tolist(), b.tolist()):
+                p, q = find(k), find(m)
+                if p != q and linked(sets[keys[k]], sets[keys[m]]):
+                    root[max(p, q)] = min(p, q)
+                    us.append(ids[k])
+                    vs.append(ids[m])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return verify
 
@@ -183,67 +256,48 @@ def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-4, id_c
     set holds its distinct shingles of `shingle` words, or its whole sequence if it has fewer words.
     Null, empty and blank texts have an empty set and link with nothing. Rows with a null
     id link with nothing (component null, kept true); rows that repeat an id share its
-    component; an empty table gives no rows; other columns are ignored.
+    component, whatever their texts; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = scratch.save(docs.mapInArrow(_sketcher(shingle), "doc_id long, n_shingles long, same binary, sig binary"), "sketches")
-    classes = rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("least")).withColumn("id", F.xxhash64("same"))
-    classes = scratch.save(classes, "classes")  # all exact copies stand for one another from here on
-    sigs = rows.join(classes.withColumnRenamed("same", "s"), (F.col("doc_id") == F.col("least")) & (F.col("same") == F.col("s"))).dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("n"), "sig")
-    sigs = scratch.save(sigs, "signatures")
-
-    whole, sigs = sigs, sigs.select("id", "sig")
-    buckets = sigs.mapInArrow(_bands, "bucket long, id long")
-    heads = buckets.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = scratch.save(buckets.join(heads, "bucket"), "buckets")  # only buckets with several classes
-
-    # classes that share a document's id are linked
-    owned = rows.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", F.xxhash64("same").alias("u"))
-    shared = owned.groupBy("doc_id").agg(F.min("u").alias("v"), F.max("u").alias("other")).where("v <> other").drop("other")
-    shared = owned.join(shared, "doc_id").where("u <> v").select("u", "v").distinct()
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = pairs.join(sigs.toDF("u", "sig_u"), "u").join(sigs.toDF("v", "sig_v"), "v")
-        pairs = scratch.save(pairs.mapInArrow(_pruner(percent / 100, miss), "u long, v long"), f"{name}-alive")
-        ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-        ids = ids.join(classes, "id").withColumnRenamed("least", "doc_id")
-        sets = docs.join(ids, "doc_id").select("id", "same", "text").mapInArrow(_set_maker(shingle), "id long, set binary").dropDuplicates(["id"])
-        sets = scratch.save(sets, f"{name}-sets")
-        out = pairs.join(sets.toDF("u", "set_u"), "u").join(sets.toDF("v", "set_v"), "v")
-        return scratch.save(out.mapInArrow(_verifier(percent), "u long, v long"), f"{name}-links")
-
-    first = buckets.where("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct()
-    first = scratch.save(first, "pairs")
-    links = confirmed(first, "star").union(shared)
-    comp = scratch.save(components(scratch, links, "cc1"), "components1")
-
-    # what is left: classes of one bucket that are in different components, but for pairs already tried
-    named = buckets.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-    named = named.join(mixed, "bucket")
-    planes = whole.mapInArrow(_planes, "id long, n long, " + ", ".join(f"{x} long" for x in PLANES))
-    named = scratch.save(named.join(planes, "id").select("bucket", "id", "c", "n", *PLANES), "mixed")
-    a, b = (named.select("bucket", *[F.col(x).alias(f"{side}_{x}") for x in ("id", "c", "n", *PLANES)]) for side in "uv")
-    differ = sum((F.bit_count(F.col(f"u_p0_{w}").bitwiseXOR(F.col(f"v_p0_{w}")).bitwiseOR(F.col(f"u_p1_{w}").bitwiseXOR(F.col(f"v_p1_{w}")))) for w in range(WORDS)), F.lit(0))
-    may = (F.col("u_c") != F.col("v_c")) & (F.col("u_id") > F.col("v_id")) & (F.least("u_n", "v_n") * 100 >= F.greatest("u_n", "v_n") * percent)
-    may = (a["bucket"] == b["bucket"]) & may & (differ <= most_differing(percent / 100, miss))
-    more = a.join(b, may).select(F.col("u_id").alias("u"), F.col("v_id").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    more = scratch.save(more, "pairs2")
-    if more.take(1):
-        # only the components that these links join are connected anew
-        name = comp.withColumnRenamed("component", "c")
-        joins = confirmed(more, "rest")
-        for side in "uv":
-            joins = joins.join(name.withColumnRenamed("id", side), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
-        top = components(scratch, joins.where("u <> v"), "cc2").toDF("component", "top")
-        lone = top.join(comp, top["component"] == comp["id"], "left_anti").select(F.col("component").alias("id"), "component")
-        comp = comp.unionByName(lone).join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
-        comp = scratch.save(comp, "components2")
-
-    named = classes.join(comp, "id", "left").select("same", "least", F.coalesce("component", "id").alias("c"))
-    named = named.join(named.groupBy("c").agg(F.min("least").alias("component")), "c").select("same", "component")
+    own = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
+    # all documents with one set are the one with the smallest id from here on; that id may stand for several sets
+    sigs = own.groupBy("same").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sig")).alias("x"))
+    sigs = scratch.save(sigs.select("same", F.col("x.doc_id").alias("id"), "x.n", "x.sig"), "signatures")
+
+    buckets = sigs.select("id", "sig").mapInArrow(_bands, "bucket long, id long")
+    many = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    many = scratch.save(many.select("bucket", F.ceil(F.col("m") / F.lit(BUCKET)).alias("m")), "shared")  # only buckets with several classes
+    met = buckets.join(many, "bucket").join(sigs.select("id", "sig", "n").mapInArrow(_planes, "id long, n long, planes binary"), "id")
+    met = stretches(met, F.col("m")).select("bucket", "i", "j", "id", "n", "planes")
+    met = met.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    trees = scratch.save(components(scratch, met.mapInArrow(_candidates(percent), "u long, v long"), "trees"), "trees").toDF("id", "tree")
+    scratch.drop("shared")
+
+    size = sigs.join(trees, "id").groupBy("tree").agg(F.count("*").alias("members"), F.sum("n").alias("values"))
+    split = F.ceil(F.greatest(F.col("members") / F.lit(TREE), F.col("values") * F.lit(8) / F.lit(TREE_BYTES)))
+    trees = scratch.save(trees.join(size.select("tree", split.alias("split")), "tree"), "sized")
+    # rows that repeat an id, and classes that share one: these are linked
+    repeated = own.groupBy("doc_id").agg(F.min("same").alias("lo"), F.max("same").alias("hi"), F.count("*").alias("m")).where("m > 1")
+    repeated = scratch.save(repeated.select("doc_id", F.expr("lo <> hi").alias("several")), "repeated")
+    texts = docs.join(trees.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "id")
+    if repeated.take(1):
+        texts = texts.dropDuplicates(["id", "text"])
+    texts = texts.select("tree", "split", "id", "text").withColumns({"n": F.lit(None).cast("long"), "same": F.lit(None).cast("binary"), "sig": F.lit(None).cast("binary")})
+    signed = sigs.join(trees, "id").withColumn("text", F.lit(None).cast("string"))
+    dealt = stretches(signed.unionByName(texts), F.col("split")).select("tree", "i", "j", "sub", "id", "n", "same", "sig", "text")
+    dealt = dealt.repartition(parts, "tree", "i", "j").sortWithinPartitions("tree", "i", "j")
+    links = dealt.mapInArrow(_verified(percent, miss, shingle), "u long, v long")
+
+    shared = own.join(repeated.where("several"), "doc_id").select("doc_id", "same").distinct().join(sigs.select("same", "id"), "same")
+    shared = scratch.save(shared.select("doc_id", "id"), "owned")
+    shared = shared.join(shared.groupBy("doc_id").agg(F.min("id").alias("v")), "doc_id").select(F.col("id").alias("u"), "v")
+    comp = components(scratch, links.union(shared), "links")
+
+    named = scratch.save(sigs.select("same", "id").join(comp, "id", "left").select("same", F.coalesce("component", "id").alias("component")), "named")
     out = rows.select("doc_id", "n_shingles", "same").join(named, "same", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
