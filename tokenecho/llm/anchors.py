@@ -39,11 +39,11 @@ class Words:
         at = np.flatnonzero(self.whole(self.length) & _IN_COVER[self.pos[: max(0, self.hash.size - self.length + 1)] % PERIOD])
         return at, run_hash(self.hash, self.length)[at]
 
-    def candidates(self, shared: np.ndarray) -> np.ndarray:
+    def candidates(self, shared: np.ndarray, slices: int) -> np.ndarray:
         """Starts of windows that hold a shared anchor."""
         at, keys = self.anchors()
         held = np.zeros(self.hash.size + 1, np.int32)
-        held[at] = B.member(keys, np.sort(shared))
+        held[at] = B.member(B.short(keys, slices), shared)
         total = np.concatenate(([0], np.cumsum(held)))
         i = np.flatnonzero(self.whole(self.window))
         return i[total[i + PERIOD] > total[i]]
@@ -59,7 +59,7 @@ def _send_windows(b: int, ids: np.ndarray, k1: np.ndarray, k2: np.ndarray, slice
     new = np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))) if k1.size else np.empty(0, bool)
     at = np.flatnonzero(new)
     last = np.concatenate((at[1:], [k1.size])) - 1 if k1.size else at
-    return B._sliced(b, k1[at], slices, [np.zeros(at.size, np.bool_), ids[at], ids[last], k2[at]])
+    return B.sliced(b, B.slice_of(k1[at], slices), {"keys": k1[at], "doc": ids[at], "last": ids[last], "key2": k2[at]})
 
 
 def _owners(table: pa.Table) -> pa.Table:
@@ -104,10 +104,10 @@ def remove_repeated_passages(docs: DataFrame, window: int = 13, id_col: str = "d
     def windows(t: pa.Table, answer: pa.Table) -> pa.Table:
         block = B.Block(t, b" ")
         words = Words(block, window)
-        at = words.candidates(B.answered(answer)) if t.num_rows else np.empty(0, np.int64)
+        at = words.candidates(B.answered_short(answer), slices) if t.num_rows else np.empty(0, np.int64)
         return _send_windows(block.b, block.ids[words.doc[at]], *words.keys(at), slices)
 
-    sent = table.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(windows, "p int, b int, keys binary, many binary, doc binary, last binary, key2 binary")
+    sent = table.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(windows, "p int, b int, keys binary, doc binary, last binary, key2 binary")
     owners = scratch.save(sent.groupBy("p").applyInArrow(_owners, "b int, keys binary, key2 binary, doc binary"), "owners")
 
     def cut(t: pa.Table, answer: pa.Table) -> pa.Table:

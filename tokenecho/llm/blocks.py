@@ -19,6 +19,8 @@ from .common import NO_DOC, U64, Scratch
 
 #: UTF-8 bytes of a block, and of the text whose keys meet in a slice.
 BLOCK, SLICE = 2_000_000, 8_000_000
+#: Files of the table of blocks, at most (Spark's own limit of buckets); more blocks share files.
+MOST_FILES = 100_000
 
 
 def deal(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
@@ -27,7 +29,7 @@ def deal(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: st
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(4, math.ceil(total / BLOCK))
     docs = docs.withColumn("b", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.crc32(F.col("text").cast("binary"))), F.lit(n)).cast("int"))
-    return scratch.blocks(docs, min(n, 4096), "b"), max(4, math.ceil(total / SLICE))
+    return scratch.blocks(docs, min(n, MOST_FILES), "b"), max(4, math.ceil(total / SLICE))
 
 
 class Block:
@@ -64,33 +66,38 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
 
 
 SENT = "p int, b int, keys binary, many binary"
+SHARED = "p int, b int, keys binary"
+_LOW = U64(0xFFFFFFFF)
+
+
+def short(keys: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of each key above its 32 low bits: a slice has too few keys for many to collide, and those only err to one side."""
+    return slice_of(keys, slices).astype(np.uint64) << U64(32) | keys & _LOW
+
+
+def sliced(b: int, p: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
+    """A block's rows for each slice; p is sorted."""
+    cut = np.concatenate((runs(p), [p.size]))
+    rows = [(int(p[lo]), b, *[c[lo:hi].tobytes() for c in columns.values()]) for lo, hi in zip(cut[:-1], cut[1:])]
+    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * len(columns)
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=["p", "b", *columns])
 
 
 def send_keys(b: int, keys: np.ndarray, doc: np.ndarray, slices: int) -> pa.Table:
     """A block's distinct keys, with a flag for those in several of its documents. doc rises."""
+    keys = short(keys, slices)
     order = np.argsort(keys, kind="stable")
     k, d = keys[order], doc[order]
     at = runs(k)
     last = np.concatenate((at[1:], [k.size])) - 1 if k.size else at
-    many = d[at] != d[last]
-    return _sliced(b, k[at], slices, [many])
-
-
-def _sliced(b: int, keys: np.ndarray, slices: int, columns: list[np.ndarray]) -> pa.Table:
-    p = slice_of(keys, slices)
-    cut = np.concatenate((runs(p), [p.size]))
-    names, rows = ["keys", "many", "doc", "last", "key2"], []
-    for lo, hi in zip(cut[:-1], cut[1:]):
-        rows.append((int(p[lo]), b, keys[lo:hi].tobytes(), *[c[lo:hi].tobytes() for c in columns]))
-    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * (1 + len(columns))
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=["p", "b", *names[: 1 + len(columns)]])
+    return sliced(b, (k[at] >> U64(32)).astype(np.int64), {"keys": (k[at] & _LOW).astype(np.uint32), "many": d[at] != d[last]})
 
 
 def shared_keys(sent: DataFrame) -> DataFrame:
-    """(b, keys): for each block those of its keys that another document also has."""
+    """(p, b, keys): for each block those of its keys that another document also has."""
 
     def meet(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["keys"]]
+        parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in table["keys"]]
         many = np.concatenate([np.frombuffer(x.as_buffer(), np.bool_) for x in table["many"]])
         keys = np.concatenate(parts)
         order = np.argsort(keys, kind="stable")
@@ -100,22 +107,27 @@ def shared_keys(sent: DataFrame) -> DataFrame:
         shared = (count > 1) | np.maximum.reduceat(many[order].astype(np.uint8), at).astype(bool)
         mask = np.empty(keys.size, bool)
         mask[order] = np.repeat(shared, count)
-        out, lo = ([], []), 0
-        for b, x in zip(table["b"].to_pylist(), parts):
+        out, lo = [], 0
+        for p, b, x in zip(table["p"].to_pylist(), table["b"].to_pylist(), parts):
             own = x[mask[lo : lo + x.size]]
             lo += x.size
             if own.size:
-                out[0].append(b)
-                out[1].append(own.tobytes())
-        return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], names=["b", "keys"])
+                out.append((p, b, own.tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.int32(), pa.int32(), pa.binary()))], names=["p", "b", "keys"])
 
-    return sent.groupBy("p").applyInArrow(meet, "b int, keys binary")
+    return sent.groupBy("p").applyInArrow(meet, SHARED)
 
 
 def answered(table: pa.Table, name: str = "keys", kind=np.uint64) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[name]]) if table.num_rows else np.empty(0, kind)
 
 
+def answered_short(table: pa.Table) -> np.ndarray:
+    """What shared_keys gave a block, sorted."""
+    parts = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) | U64(p << 32) for p, x in zip(table["p"].to_pylist(), table["keys"])]
+    return np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
 def member(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Which keys are in `of`, a sorted array."""
     if not of.size:

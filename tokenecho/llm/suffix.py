@@ -14,14 +14,13 @@ to the blocks. Only where all pieces of a minimizer are one text is there nothin
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import BYTE, U64, Scratch, mix
+from .common import BYTE, U64, Scratch, mix, powers
 
 GRAM = 24
 #: Bytes of pieces in one suffix array, as long as one minimizer's pieces have no more.
@@ -74,8 +73,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def first_owners(pieces: list[bytes], owner: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each piece and each start of a full window the smallest owner of that window."""
+def first_owners(pieces: list[bytes], owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, offset, owner): runs of full windows with one smallest owner, in the order of the pieces."""
     s = np.concatenate([x for p in pieces for x in (np.frombuffer(p, np.uint8).astype(np.int64) + 2, np.ones(1, np.int64))])
     size = np.array([len(p) for p in pieces], np.int64)
     start = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
@@ -83,23 +82,40 @@ def first_owners(pieces: list[bytes], owner: np.ndarray, length: int) -> list[np
     left = np.repeat(start + size, size + 1) - np.arange(s.size)
     sa = suffix_array(s)
     sa = sa[left[sa] >= length]  # other suffixes are no full window
-    # adjacent prefixes, eight bytes at a time
-    raw = np.concatenate((s, np.zeros(8, np.int64))).astype(np.uint64)
-    eight = raw[: s.size].copy()
-    for j in range(1, 8):
-        eight |= raw[j : j + s.size] << U64(8 * j)
-    # bytes are shifted by 2, so 254 and 255 need more than 8 bits: compare them exactly as well
     same = np.ones(max(0, sa.size - 1), bool)
-    for j in [*range(0, length - 7, 8), length - 8] if length >= 8 else []:
-        same &= eight[sa[1:] + j] == eight[sa[:-1] + j]
-    for j in range(length):
-        i = np.flatnonzero(same) if j == 0 else i[same[i]]
-        same[i] = s[sa[i + 1] + j] == s[sa[i] + j]
-    at = np.flatnonzero(np.concatenate(([True], ~same))) if sa.size else np.empty(0, np.int64)
+    i = np.arange(same.size)
+    for j in range(length):  # adjacent prefixes
+        i = i[s[sa[i + 1] + j] == s[sa[i] + j]]
+    same[:] = False
+    same[i] = True
     low = np.zeros(s.size, np.int64)
     if sa.size:
+        at = np.flatnonzero(np.concatenate(([True], ~same)))
         low[sa] = np.repeat(np.minimum.reduceat(owner[of[sa]], at), np.diff(np.concatenate((at, [sa.size]))))
-    return [low[a : a + n - length + 1] for a, n in zip(start.tolist(), size.tolist())]
+    i = np.flatnonzero(left >= length)
+    piece, low = of[i], low[i]
+    new = np.flatnonzero(np.concatenate(([True], (piece[1:] != piece[:-1]) | (low[1:] != low[:-1])))) if i.size else i
+    return piece[new], i[new] - start[piece[new]], low[new]
+
+
+def stretch_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """64-bit hashes of buf[start:end]; starts rise. Prefix sums of byte codes go in slices, which bounds memory."""
+    out, k = np.empty(start.size, np.uint64), 0
+    while k < start.size:
+        m = max(k + 1, int(np.searchsorted(start, start[k] + step)))
+        lo, hi = start[k], end[k:m].max()
+        up, down = powers(int(hi - lo))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[buf[lo:hi]] * up[: hi - lo])))
+        s, e = start[k:m] - lo, end[k:m] - lo
+        out[k:m] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        k = m
+    return out
+
+
+def gather(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of all stretches, one after the other."""
+    to = np.cumsum(size)
+    return buf[np.repeat(start - to + size, size) + np.arange(to[-1] if to.size else 0)]
 
 
 class Pieces:
@@ -135,20 +151,21 @@ class Pieces:
             doc.append(d[at])
         self.value, self.start, self.last, self.doc = map(np.concatenate, (value, start, last, doc))
 
-    def pick(self, shared: np.ndarray) -> None:
-        """Keep those whose minimizer is shared, grouped by equal text."""
-        keep = np.flatnonzero(B.member(self.value, np.sort(shared)))
+    def pick(self, shared: np.ndarray, slices: int) -> None:
+        """Keep those whose minimizer is shared; `same` numbers them by minimizer and text, `one` is the first of each number."""
+        keep = np.flatnonzero(B.member(B.short(self.value, slices), shared))
         self.value, self.start, self.last, self.doc = (x[keep] for x in (self.value, self.start, self.last, self.doc))
-        self.texts: dict[bytes, list[int]] = {}
-        for k, (a, z) in enumerate(zip(self.start.tolist(), self.last.tolist())):
-            self.texts.setdefault(self.block.data[a : z + self.length], []).append(k)
-
+        text = stretch_hashes(self.block.buf, self.start, self.last + self.length)
+        order = np.lexsort((self.start, text, self.value))
+        v, t = self.value[order], text[order]
+        new = np.concatenate(([True], (v[1:] != v[:-1]) | (t[1:] != t[:-1]))) if v.size else np.empty(0, bool)
+        at = np.flatnonzero(new)
+        self.same = np.empty(v.size, np.int64)
+        self.same[order] = np.cumsum(new) - 1
+        self.one, self.end = order[at], order[np.append(at[1:], v.size) - 1] if v.size else at
 
-def _key(text: bytes) -> bytes:
-    return hashlib.blake2b(text, digest_size=16).digest()
 
-
-_SENT = "p int, b int, value long, key binary, text binary, doc long, last long"
+_SENT = "p int, b int, first long, value binary, size binary, text binary, doc binary, more binary"
 
 
 def remove_repeated_strings(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,77 +188,97 @@ def remove_repeated_strings(docs: DataFrame, length: int = 50, id_col: str = "do
 
     def send(t: pa.Table, answer: pa.Table) -> pa.Table:
         p = Pieces(B.Block(t, b""), length)
-        p.pick(B.answered(answer))
-        at = [k[0] for k in p.texts.values()]
-        end = [k[-1] for k in p.texts.values()]
-        value = p.value[at]
-        ids = p.block.ids[p.doc]  # ids rise within the block
-        return pa.table([pa.array(B.slice_of(value, slices).astype(np.int32)), pa.array(np.full(len(at), p.block.b, np.int32)), pa.array(value.view(np.int64)), pa.array([_key(x) for x in p.texts], pa.binary()), pa.array(list(p.texts), pa.binary()), pa.array(ids[at]), pa.array(ids[end])], names=["p", "b", "value", "key", "text", "doc", "last"])
+        p.pick(B.answered_short(answer), slices)
+        value, start, size = p.value[p.one], p.start[p.one], p.last[p.one] + length - p.start[p.one]
+        doc, more = p.block.ids[p.doc[p.one]], p.block.ids[p.doc[p.end]]  # ids rise within the block
+        slot = B.slice_of(value, slices)
+        cut, rows = np.concatenate((B.runs(slot), [slot.size])), []
+        for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            text = gather(p.block.buf, start[a:z], size[a:z])
+            rows.append((int(slot[a]), p.block.b, a, value[a:z].tobytes(), size[a:z].astype(np.uint32).tobytes(), text.tobytes(), doc[a:z].tobytes(), (more[a:z] - doc[a:z]).tobytes()))
+        kinds = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 5
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=["p", "b", "first", "value", "size", "text", "doc", "more"])
 
     def arrays(t: pa.Table) -> pa.Table:
-        order = np.argsort(t["value"].to_numpy(), kind="stable")
-        t = t.take(pa.array(order)).combine_chunks()
-        value, b = t["value"].to_numpy(), t["b"].to_numpy()
-        doc, last = t["doc"].to_numpy(), t["last"].to_numpy()
-        keys, texts = t["key"].to_pylist(), t["text"]
-        at = B.runs(value)
-        cut = np.append(at, value.size)
-        marks = np.frombuffer(b"".join(keys), np.uint64)[::2]
-        alone = np.minimum.reduceat(marks, at) == np.maximum.reduceat(marks, at)
+        value, size = B.answered(t, "value"), B.answered(t, "size", np.uint32).astype(np.int64)
+        doc = B.answered(t, "doc", np.int64)
+        last = doc + B.answered(t, "more", np.int64)
+        buf = B.answered(t, "text", np.uint8)
+        end = np.cumsum(size)
+        text = stretch_hashes(buf, end - size, end)
+        many = np.array([len(x.as_buffer()) // 8 for x in t["value"]], np.int64)
+        b = np.repeat(t["b"].to_numpy(), many)
+        piece = np.arange(value.size) - np.repeat(np.cumsum(many) - many - t["first"].to_numpy(), many)  # its number in its block
+
+        order = np.lexsort((text, value))
+        v, h = value[order], text[order]
+        new_value = np.concatenate(([True], v[1:] != v[:-1]))
+        new_text = new_value | np.concatenate(([True], h[1:] != h[:-1]))
+        at = np.flatnonzero(new_text)
+        of = np.cumsum(new_text) - 1  # the distinct text of each piece in order
+        owner, group = np.minimum.reduceat(doc[order], at), np.cumsum(new_value)[at] - 1
+        sole = np.bincount(group)[group] == 1
         # where all pieces of a minimizer are one text, its suffixes need no sorting: one owner holds throughout
-        low = np.repeat(np.where(alone, np.minimum.reduceat(doc, at), last.max()), np.diff(cut))
-        rows = np.flatnonzero(low < last)
-        whole = np.zeros((rows.size, 2), "<i8")
-        whole[:, 1] = low[rows]
-        packed = whole.tobytes()
-        out = [(x, keys[k], packed[16 * i : 16 * i + 16]) for i, (x, k) in enumerate(zip(b[rows].tolist(), rows.tolist()))]
-        several = np.flatnonzero(~alone).tolist()
-        while several:  # whole minimizers, as many as fit
-            size, seen = 0, {}
-            while several and (not seen or size < PART):
-                g = several.pop()
-                for k in range(cut[g], cut[g + 1]):
-                    if keys[k] not in seen:
-                        size += len(texts[k].as_py()) + 1
-                    seen.setdefault(keys[k], []).append(k)
-            owner = np.array([doc[k].min() for k in seen.values()], np.int64)
-            for (key, ks), own in zip(seen.items(), first_owners([texts[k[0]].as_py() for k in seen.values()], owner, length)):
-                least = own.min()
-                if least < last[ks].max():
-                    first = B.runs(own)
-                    answer = np.concatenate((first, own[first])).astype("<i8").tobytes()
-                    out += [(int(b[k]), key, answer) for k in ks if least < last[k]]
-        return pa.table([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 3, (pa.int32(), pa.binary(), pa.binary()))], names=["b", "key", "low"])
+        runs = [(np.flatnonzero(sole), np.zeros(int(sole.sum()), np.int64), owner[sole])]
+        several = np.flatnonzero(~sole)
+        bytes_of = size[order[at]]
+        to = np.cumsum(bytes_of[several])
+        whole = np.searchsorted(group[several], group[several], "right") - 1  # the last text with the same minimizer
+        lo = 0
+        while lo < several.size:  # whole minimizers, as many as fit
+            hi = int(whole[min(several.size - 1, np.searchsorted(to, (to[lo - 1] if lo else 0) + PART))]) + 1
+            some = several[lo:hi]
+            first = end[order[at[some]]] - bytes_of[some]
+            k, offset, low = first_owners([buf[x : x + n].tobytes() for x, n in zip(first.tolist(), bytes_of[some].tolist())], owner[some], length)
+            runs.append((some[k], offset, low))
+            lo = hi
+        k, offset, low = map(np.concatenate, zip(*runs))
+        by_text = np.argsort(k, kind="stable")
+        k, offset, low = k[by_text], offset[by_text], low[by_text]
+        begin = np.searchsorted(k, np.arange(at.size + 1))
+        # answers for the pieces that have a smaller owner than their last document, by block
+        hit = np.flatnonzero(np.minimum.reduceat(low, begin[:-1])[of] < last[order])
+        hit = hit[np.lexsort((piece[order[hit]], b[order[hit]]))]
+        count = (begin[1:] - begin[:-1])[of[hit]]
+        which = np.repeat(begin[:-1][of[hit]] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        own, cut = b[order[hit]], B.runs(b[order[hit]])
+        z = np.append(np.cumsum(count), 0)
+        out = []
+        for a, e in zip(cut.tolist(), [*cut[1:].tolist(), hit.size]):
+            i = which[z[a - 1] : z[e - 1]]
+            out.append((int(own[a]), piece[order[hit[a:e]]].tobytes(), count[a:e].tobytes(), offset[i].tobytes(), low[i].tobytes()))
+        return pa.table([pa.array(x, c) for x, c in zip(zip(*out) if out else [[]] * 5, [pa.int32()] + [pa.binary()] * 4)], names=["b", "piece", "count", "offset", "low"])
 
+    found = ["piece", "count", "offset", "low"]
     sent = table.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(send, _SENT)
-    owners = scratch.save(sent.groupBy("p").applyInArrow(arrays, "b int, key binary, low binary"), "owners")
+    owners = scratch.save(sent.groupBy("p").applyInArrow(arrays, "b int, " + ", ".join(f"{x} binary" for x in found)), "owners")
     both = shared.join(owners.select("b").distinct(), "b", "left_semi")
-    answers = owners.selectExpr("b", "key", "low", "cast(null as binary) AS keys").unionByName(both.selectExpr("b", "cast(null as binary) AS key", "cast(null as binary) AS low", "keys"))
+    none = {x: F.lit(None).cast("binary") for x in found}
+    answers = owners.withColumns({"p": F.lit(None).cast("int"), "keys": F.lit(None).cast("binary")}).unionByName(both.withColumns(none))
 
     def remove(t: pa.Table, answer: pa.Table) -> pa.Table:
         block = B.Block(t, b"")
         size = block.end - block.start
         change = np.zeros(block.buf.size + 1, np.int32)
         if answer.num_rows:
-            own = answer.filter(answer["keys"].is_valid())
             p = Pieces(block, length)
-            p.pick(B.answered(own))
-            low = {k.as_py(): np.frombuffer(v.as_buffer(), "<i8") for k, v in zip(answer["key"], answer["low"]) if k.is_valid}
-            opens, closes = [], []
-            ids, starts = block.ids[p.doc].tolist(), p.start.tolist()
-            for text, rows in p.texts.items():
-                runs = low.get(_key(text))
-                if runs is None:
-                    continue
-                half = runs.size // 2
-                at, who = [*runs[:half].tolist(), len(text) - length + 1], runs[half:].tolist()
-                for k in rows:
-                    for x, w in enumerate(who):
-                        if w < ids[k]:
-                            opens.append(starts[k] + at[x])
-                            closes.append(starts[k] + at[x + 1] - 1 + length)
-            np.add.at(change, np.array(opens, np.int64), 1)
-            np.add.at(change, np.array(closes, np.int64), -1)
+            p.pick(B.answered_short(answer.filter(answer["keys"].is_valid())), slices)
+            answer = answer.filter(answer["piece"].is_valid())
+            piece, count, offset, low = (B.answered(answer, x, np.int64) for x in found)
+            first = np.full(p.one.size, -1, np.int64)
+            first[piece] = np.arange(piece.size)
+            at = np.cumsum(count) - count
+            rows = np.flatnonzero(first[p.same] >= 0)  # pieces of the block with an answer
+            k = first[p.same[rows]]
+            which = np.repeat(at[k] - np.cumsum(count[k]) + count[k], count[k]) + np.arange(count[k].sum())
+            rows = np.repeat(rows, count[k])
+            # a run of windows ends where the next begins, the last one with its piece
+            follow = np.append(offset[1:], 0)
+            follow[at + count - 1] = -1
+            ends = np.where(follow[which] >= 0, p.start[rows] + follow[which] - 1, p.last[rows])
+            hit = low[which] < block.ids[p.doc[rows]]
+            np.add.at(change, (p.start[rows] + offset[which])[hit], 1)
+            np.add.at(change, (ends + length)[hit], -1)
         gone = np.cumsum(change[:-1]) > 0
         removed, spans, kept = [], [], []
         for a, z in zip(block.start.tolist(), block.end.tolist()):
