@@ -155,6 +155,61 @@ def test_mixing_of_overlapping_sources(spark):
     assert taken == flow and sum(flow.values()) == sum(targets.values()) and all(0 <= x <= 10 for x in out.values())
 
 
+def test_flow_costs_no_more_than_any_other():
+    from itertools import product
+
+    r = np.random.default_rng(11)
+    for _ in range(40):
+        patterns = [("a",), ("b",), ("a", "b")]
+        pools = {(p, s): (2 * int(r.integers(0, 4)), [s]) for p in patterns for s in p}
+        rows = {p: sum(pools[p, s][0] for s in p) for p in patterns}
+        levels = {p: [u, u, rows[p] - 2 * u] for p in patterns for u in [int(r.integers(0, rows[p] // 2 + 1))]}
+        demand = {s: int(r.integers(0, 9)) for s in "ab"}
+        cost = lambda give: sum(c * min(max(0, sum(give[p, s] for s in p) - lo), n) for p in patterns for c, lo, n in zip((1, 4, 9), np.cumsum([0, *levels[p]]).tolist(), levels[p]))
+        got = mixing.cheapest_routes(levels, pools, demand)
+        every = [dict(zip(pools, x)) for x in product(*(range(m + 1) for m, _ in pools.values()))]
+        every = [g for g in every if all(sum(n for (_, s), n in g.items() if s == k) <= demand[k] for k in "ab")]
+        assert got in every and min((-sum(g.values()), cost(g)) for g in every) == (-sum(got.values()), cost(got))
+
+
+def test_mixing_by_brute_force(spark, docs):
+    shared = [(1000 + i, f"{prose(700 + i % 7, 20)}", "en", ["s0", "s1", "s2"][i % 3 if i % 7 < 4 else 0], 1, "k", 1, 2, 3) for i in range(60)]
+    df = docs.union(spark.createDataFrame(shared, SCHEMA)).repartition(5)
+    rows = [(r["doc_id"], r["source"], r["text"], len(WORD.findall(r["text"] or "")), r["draw"]) for r in df.withColumn("draw", F.xxhash64(F.lit(17), "doc_id", "text")).collect()]
+    held = {}
+    for _, s, t, _, _ in rows:
+        if t is not None:
+            held.setdefault(t, set()).add("n" if s is None else f"s{s}")
+    pools, once, sizes = {}, {}, {}
+    for row in rows:
+        own = "n" if row[1] is None else f"s{row[1]}"
+        pools.setdefault((tuple(sorted(held.get(row[2], {own}))), own), []).append(row)
+        sizes[row[1]] = sizes.get(row[1], 0) + row[3]
+    for t, s in held.items():
+        once[tuple(sorted(s))] = once.get(tuple(sorted(s)), 0) + len(WORD.findall(t))
+    words_of = {k: sum(r[3] for r in v) for k, v in pools.items()}
+    total = {p: sum(n for (q, _), n in words_of.items() if q == p) for p, _ in pools}
+    levels = {p: [once[p], once[p], 2 * n - 2 * once[p]] for p, n in total.items()}
+    target = mixing.quotas(sizes)
+    flow = mixing.cheapest_routes(levels, {k: (2 * n, [k[1]]) for k, n in words_of.items()}, {"n" if s is None else f"s{s}": round(t) for s, t in target.items()})
+    expected = []
+    for k, own in pools.items():
+        left = flow[k] % words_of[k] if words_of[k] else 0
+        for i, s, _, n, _ in sorted(own, key=lambda r: (r[4] % 2**64, r[0] is not None, r[0] or 0, r[3])):
+            last = min(n, left)
+            left -= last
+            expected.append((i, s, n, sizes[s], target[s], (flow[k] // words_of[k] if words_of[k] else 0) * n + last, len(k[0])))
+    assert any(len(p) > 1 and flow[p, s] for p, s in pools)
+    assert sorted(map(str, map(tuple, mixing.mix(df).collect()))) == sorted(map(str, expected))
+
+
+def test_mixture_keeps_columns_of_any_name(spark):
+    names = ["row", "times", "k", "pool", "pattern", "bin", "carried", "taken", "all"]
+    df = spark.createDataFrame([(i, "s", f"w{i} b", *([i] * 9)) for i in range(20)] + [(99, None, None, *([1] * 9))], "doc_id long, source string, text string, " + ", ".join(f"`{c}` long" for c in names))
+    out = mixing.mixture(df)
+    assert out.columns == df.columns and out.count() == 30 and all(r["row"] == r["times"] == r["all"] == r["doc_id"] for r in out.collect())
+
+
 def test_min_cost_flow_spreads_before_it_repeats():
     flow = mixing.cheapest_flow({("a",): 10, ("a", "b"): 10, ("b",): 10}, {"a": 15, "b": 15})
     assert flow == {("a",): 10, ("a", "b"): 10, ("b",): 10}

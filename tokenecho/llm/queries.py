@@ -31,7 +31,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mix(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "n_sources")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
