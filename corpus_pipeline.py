@@ -13,20 +13,25 @@ from tokenecho.llm import bpe, crf, minhash, mixing, pii
 from tokenecho.llm.common import Scratch, documents
 from tokenecho.llm.queries import tokenizer_path
 
-#: A document whose best language has less of its words' probability is rejected, as is one without a letter.
-LEAST_SCORE = 0.4
+#: A document is rejected if its words' own languages are less certain than this on the mean (whichever
+#: language each word has, so text that switches between languages stays), or if it has no letter.
+LEAST_CERTAINTY = 0.4
+#: Near duplicates are judged on shingles of so many words, at a similarity of 0.8.
+SHINGLE = 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language, which is filled in where it was null."""
-    found = crf.identify(docs, crf.fit_on(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """Documents with a language, which is filled in where it was null. Null texts and texts without a letter go."""
+    found = crf.identify(docs, crf.fit_on(docs), out="language_found__")
+    found = found.where(F.col("language_found__.lang_pred") != "und").where(F.col("language_found__.certainty") >= LEAST_CERTAINTY)
+    lang = F.coalesce(F.col("lang"), F.col("language_found__.lang_pred")).alias("lang")
+    return found.select(*[lang if c == "lang" else c for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Rows with a null id stay."""
-    dropped = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group: the one with the smallest id. Rows with a null id stay; rows that repeat an id stay or go together."""
+    dropped = minhash.near_duplicates(docs, shingle=SHINGLE).where("NOT kept").select(F.col("doc_id").alias("dropped__")).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col("dropped__"), "left_anti").select(*docs.columns)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +51,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("private_data", private_data), ("mix", mix), ("encode", encode)]
 
-#: The field of the first stage is fitted, which SQL cannot express; tests run the stages against brute force.
+#: The field of the first stage is fitted and the mix is a flow, which SQL cannot express; tests run every stage against brute force.
 ORACLE_SQL = None
 
 
