@@ -11,7 +11,7 @@ tokenizer's splitting pattern ends a piece there whatever stands around it, and
 special token holds one. What is encoded between two safe breaks is what encoding
 the whole text gives.
 
-Documents without any repeated chunk, as a bit table of fixed size tells (it errs to
+Documents without any repeated chunk, as a bit table of bounded size tells (it errs to
 one side only), are encoded where they are read; only the others are shuffled.
 """
 
@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, row_key
 
 #: Bytes of a chunk: the least, the mean beyond it, the most.
 LEAST, MEAN, MOST = 256, 1024, 16384
-#: Bits of the table of repeated chunks (4 MB), whatever the size of the corpus.
-FILTER_BITS = 1 << 25
+#: Bits of the table of repeated chunks: 16 or more for each, between 4 MB and 128 MB in all.
+FILTER_BITS, MOST_BITS = 1 << 25, 1 << 30
 
 _rng = np.random.default_rng(8191)
 _GEAR = _rng.integers(0, 2**32, 256, dtype=np.uint32)
@@ -79,7 +79,7 @@ class Codec:
 
     Merging is done by tiktoken over the same vocabulary (ids are ranks), which gives
     the ids of the tokenizers library several times as fast; texts that its pattern
-    engine refuses go to the tokenizers library itself.
+    engine refuses go to the tokenizers library itself. A file of another kind is an error.
     """
 
     def __init__(self, path: str):
@@ -100,6 +100,10 @@ class Codec:
         for t, i in special.items():
             self.bytes_of[i] = t.encode()
         self.width = np.array([len(t) for t in self.bytes_of], dtype=np.int64)
+        plain = {k: v for k, v in (spec.get("pre_tokenizer") or {}).items() if k in ("type", "add_prefix_space", "use_regex")}
+        known = plain in ({"type": "ByteLevel", "add_prefix_space": False}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True})
+        if not known or spec.get("normalizer") or spec["model"].get("type") != "BPE" or spec["model"].get("dropout"):
+            raise ValueError(f"{path}: not a byte-level BPE with the usual splitting pattern and no normalizer")
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self._fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
@@ -108,7 +112,7 @@ class Codec:
         try:
             return np.array(self._fast.encode(s, allowed_special="all"), dtype=np.uint32)
         except BaseException as e:  # noqa: BLE001  the pattern engine's own limits come as panics
-            if isinstance(e, (KeyboardInterrupt, SystemExit)):
+            if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit, MemoryError)):
                 raise
             if self._slow is None:
                 from tokenizers import Tokenizer
@@ -196,7 +200,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     scratch = Scratch(spark, "bpe")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    docs = docs.withColumn("key", row_key("doc_id", "text"))
 
     def occurrences(batches):
         for batch in batches:
@@ -207,21 +211,22 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                     rows[0].append(chunk_key(text[at[i] : at[i + 1]]))
                     rows[1].append(key)
                     rows[2].append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32())], ["chunk", "key", "i"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.int32())], ["chunk", "key", "i"])
 
-    found = docs.select("key", "text").where("text <> ''").mapInArrow(occurrences, "chunk binary, key long, i int")
+    found = docs.select("key", "text").where("text <> ''").mapInArrow(occurrences, "chunk binary, key binary, i int")
     found = scratch.save(found, "occurrences")
     shared = scratch.save(found.groupBy("chunk").agg(F.min(F.struct("key", "i")).alias("first"), F.max("key").alias("last")).where("first.key <> last").drop("last"), "shared")
 
-    bit = F.pmod(F.conv(F.hex(F.substring("chunk", 1, 7)), 16, 10).cast("long"), F.lit(FILTER_BITS))
+    bits = min(MOST_BITS, max(FILTER_BITS, 1 << (16 * shared.count()).bit_length()))
+    bit = F.pmod(F.conv(F.hex(F.substring("chunk", 1, 7)), 16, 10).cast("long"), F.lit(bits))
     set_bits = shared.select(bit.alias("b")).selectExpr("b div 64 AS w", "shiftleft(1L, cast(b % 64 AS int)) AS m")
     table = set_bits.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    words = np.zeros(FILTER_BITS // 64, np.uint64)
+    words = np.zeros(bits // 64, np.uint64)
     words[table["w"].to_numpy()] = table["m"].to_numpy().astype(np.int64).view(np.uint64)
     sent = spark.sparkContext.broadcast(words)
 
     def may_repeat(piece_key: bytes) -> bool:
-        b = int.from_bytes(piece_key[:7], "big") % FILTER_BITS
+        b = int.from_bytes(piece_key[:7], "big") % bits
         return bool(int(sent.value[b >> 6]) >> (b & 63) & 1)
 
     def alone(batches):
@@ -250,11 +255,11 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 for key, doc_id, text in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), _texts(batch))
                 if text and any(may_repeat(chunk_key(text[x:y])) for at in [cuts(text)] for x, y in zip(at, at[1:]))
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()))], ["key", "doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows) if rows else [[]] * 3, (pa.binary(), pa.int64(), pa.binary()))], ["key", "doc_id", "packed"])
 
     marks = found.join(shared, "chunk").select("key", "i", "chunk", (F.struct("key", "i") == F.col("first")).alias("owner"))
     marks = marks.groupBy("key").agg(F.collect_set(F.struct("i", "chunk", "owner")).alias("marks"))
-    rest = docs.mapInArrow(others, "key long, doc_id long, packed binary").join(marks, "key", "left")
+    rest = docs.mapInArrow(others, "key binary, doc_id long, packed binary").join(marks, "key", "left")
     rest = scratch.save(rest, "rest")
 
     def own(batches):

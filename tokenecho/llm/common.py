@@ -17,6 +17,11 @@ U64 = np.uint64
 NO_DOC = np.iinfo(np.int64).max  # stands for a null id: it sorts after every id
 
 
+def row_key(id_col: str, text_col: str):
+    """128 bits that stand for an id and a text; a null text counts as empty."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text_col), F.lit(""))).cast("binary")))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -26,12 +31,14 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share. Where none is set, one of our own in local mode, else an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tokenecho-")
         spark.sparkContext.setCheckpointDir(d)
         spark.conf.set("spark.checkpoint.dir", d)
@@ -54,7 +61,8 @@ class Scratch:
 
     def blocks(self, df: DataFrame, buckets: int, key: str) -> DataFrame:
         """A table bucketed by key: every later grouping by key reads it without a shuffle."""
-        name = f"blocks_{uuid.uuid4().hex}"
+        self.spark.sql("CREATE DATABASE IF NOT EXISTS tokenecho_scratch")
+        name = f"tokenecho_scratch.blocks_{uuid.uuid4().hex}"
         df.repartition(buckets, key).write.option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
         self.tables.append(name)
         return self.spark.table(name)
