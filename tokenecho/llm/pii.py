@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, row_key
 
 KINDS = ("email", "ip", "card", "phone", "remove", "generalise")
 # Possessive and anchored forms of the patterns: they find the same matches in linear time.
@@ -25,23 +25,44 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP_VALID = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
-#: A term: a run of letters outside emails, of any length; how many have their starts added up at once.
+#: A term: a run of letters outside emails, of any length; how many matches have their starts added up at once.
 TERM, STRETCH = r"\p{L}+", 256
 #: Documents that hold both the term and the entity, at least; ratios of PMI to IC.
 SUPPORT, DISCLOSES, REMOVES = 3, 0.9, 0.99
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _starts(pieces: Column, matches: Column) -> Column:
-    """0-based starts of matches from the pieces between them."""
-    zipped = F.arrays_zip(F.transform(F.slice(pieces, 1, F.size(matches)), F.length).alias("p"), F.transform(matches, F.length).alias("m"))
+def _starts(sizes: Column, gaps: Column) -> Column:
+    """0-based starts of stretches with these sizes, each behind a gap."""
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["p"]
+        start = acc["at"] + x["g"]
         return F.struct((start + x["m"]).alias("at"), F.concat(acc["out"], F.array(start)).alias("out"))
 
-    return F.aggregate(zipped, state, step, lambda acc: acc["out"])
+    return F.aggregate(F.arrays_zip(gaps.alias("g"), sizes.alias("m")), state, step, lambda acc: acc["out"])
+
+
+def _located(matches: Column, pieces: Column) -> Column:
+    """array<struct<t, s>>: matches and their 0-based starts, from the pieces between them.
+
+    Starts are added up by stretches, so that time is not the square of the matches.
+    """
+    lengths = lambda x: F.transform(x, F.length)
+
+    def cut(x: Column) -> Column:
+        begin = F.when(F.size(x["m"]) > 0, F.sequence(F.lit(1), F.size(x["m"]), F.lit(STRETCH))).otherwise(F.array().cast("array<int>"))
+        return F.transform(begin, lambda i: F.struct(lengths(F.slice(x["p"], i, F.lit(STRETCH))).alias("p"), F.slice(x["m"], i, F.lit(STRETCH)).alias("m")))
+
+    def placed(parts: Column) -> Column:
+        total = lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n)
+        whole = F.transform(parts, lambda y: total(F.slice(y["p"], F.lit(1), F.size(y["m"]))) + total(lengths(y["m"])))
+        offset = _starts(whole, F.transform(parts, lambda y: F.lit(0)))
+        return F.flatten(F.zip_with(parts, offset, lambda y, o: F.zip_with(y["m"], _starts(lengths(y["m"]), F.slice(y["p"], F.lit(1), F.size(y["m"]))), lambda t, s: F.struct(t.alias("t"), (o + s).alias("s")))))
+
+    # arrays of one element bind what the inner functions use, or they would find it anew for every stretch
+    both = F.struct(pieces.alias("p"), matches.alias("m"))
+    return F.flatten(F.transform(F.transform(F.array(both), cut), placed))
 
 
 def _digits(c: Column) -> Column:
@@ -57,7 +78,8 @@ _RULES = {
 
 
 def _span(i: int, k: str, valid, entity):
-    def span(v: Column, start: Column) -> Column:
+    def span(x: Column) -> Column:
+        v, start = x["t"], x["s"]
         return F.when(valid(v), F.struct(start.alias("start"), F.lit(i).alias("kind"), (start + F.length(v)).alias("end"), F.concat(F.lit(f"{k}:"), entity(v)).alias("entity")))
 
     return span
@@ -72,7 +94,7 @@ def base_spans(rows: DataFrame, text: str = "text") -> DataFrame:
     found = []
     for i, (k, (_, valid, entity, _)) in enumerate(_RULES.items()):
         m = F.col(f"m_{k}")
-        spans = F.filter(F.zip_with(m, _starts(F.col(f"p_{k}"), m), _span(i, k, valid, entity)), lambda x: x.isNotNull())
+        spans = F.filter(F.transform(_located(m, F.col(f"p_{k}")), _span(i, k, valid, entity)), lambda x: x.isNotNull())
         found.append(F.when(F.size(m) > 0, spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,entity:string>>")))
     hidden = F.zip_with("p_email", "m_email", lambda p, m: F.concat(p, F.coalesce(F.repeat(F.lit("#"), F.length(m)), F.lit(""))))
     return out.select(*keep, F.array_sort(F.concat(*found)).alias("base"), F.when(F.size("m_email") > 0, F.array_join(hidden, "")).otherwise(F.col(text)).alias("masked"))
@@ -84,21 +106,9 @@ def _words(text: Column) -> Column:
 
 
 def _occurrences(text: Column) -> Column:
-    """All terms of a text: array<struct<t, s, e>>. Starts are added up by stretches, so that time is not the square of the terms."""
-    m = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    both = F.struct(F.split(text, TERM, -1).alias("p"), m.alias("m"))
-
-    def located(x: Column) -> Column:
-        begin = F.when(F.size(x["m"]) > 0, F.sequence(F.lit(1), F.size(x["m"]), F.lit(STRETCH))).otherwise(F.array().cast("array<int>"))
-        return F.transform(begin, lambda i: F.struct(F.slice(x["p"], i, F.lit(STRETCH)).alias("p"), F.slice(x["m"], i, F.lit(STRETCH)).alias("m")))
-
-    def placed(parts: Column) -> Column:
-        whole = F.transform(parts, lambda y: F.concat(F.array_join(F.slice(y["p"], F.lit(1), F.size(y["m"])), ""), F.array_join(y["m"], "")))
-        offset = _starts(F.transform(parts, lambda y: F.lit("")), whole)
-        return F.flatten(F.zip_with(parts, offset, lambda y, o: F.zip_with(y["m"], _starts(y["p"], y["m"]), lambda t, s: F.struct(F.translate(t, _UP, _LOW).alias("t"), (o + s).alias("s"), (o + s + F.length(t)).alias("e")))))
-
-    # arrays of one element bind what the inner functions use, or they would find it anew for every stretch
-    return F.flatten(F.transform(F.transform(F.array(both), located), placed))
+    """All terms of a text: array<struct<t, s, e>>."""
+    found = _located(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1))
+    return F.transform(found, lambda x: F.struct(F.translate(x["t"], _UP, _LOW).alias("t"), x["s"].alias("s"), (x["s"] + F.length(x["t"])).alias("e")))
 
 
 def _is(i: int):
@@ -128,7 +138,7 @@ def disclosing_terms(documents: DataFrame, held: DataFrame, entities: DataFrame)
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (a hash of id and text), n_email, n_ip, n_card, n_phone, base_sha256, spans and all (start, kind, end) of every row.
+    """doc_id, key (row_key of id and text), n_email, n_ip, n_card, n_phone, base_sha256, spans and all (start, kind, end) of every row.
 
     A null text is empty and has no spans. Rows with null or repeated ids each get their
     own result (equal rows count as so many documents and are alike); an empty table gives
@@ -136,7 +146,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     scratch = Scratch(docs.sparkSession, "pii")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("key", row_key("doc_id", "text"))
     found = base_spans(rows).select("doc_id", "key", "base", F.when(F.size("base") > 0, F.col("masked")).alias("masked"))
     found = scratch.save(found, "found")
     some = found.where("size(base) > 0")
@@ -159,24 +169,43 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the spans of find_private replaced in the text; rows without any stay as they are."""
+    """docs with the spans of find_private replaced in the text; rows without any, and null texts, stay as they are.
+
+    Rows with null or repeated ids are each treated by their own text; an empty table stays
+    empty; columns of any name come back as they were.
+    """
     spans = find_private(docs, id_col, text_col).where("size(all) > 0").dropDuplicates(["key"]).select("key", "all")
-    keyed = docs.withColumn("key", F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
-    out = keyed.join(spans, "key", "left")
-    return out.withColumn(text_col, F.when(F.col("all").isNotNull(), redact(F.col(text_col), F.col("all"))).otherwise(F.col(text_col))).select(*docs.columns)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(f"`{id_col}`", f"`{text_col}`").alias("key"))
+    out, text = keyed.join(spans, "key", "left"), F.col("row")[text_col]
+    text = F.when(F.col("all").isNotNull(), redact(text, F.col("all"))).otherwise(text)
+    return out.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with its spans replaced: base data and generalised terms by their kind, removed terms by nothing.
 
-    spans as in `all` of find_private: by start; a span that starts inside an earlier one is part of it.
+    spans as in `all` of find_private: by start; a span that starts inside an earlier one is
+    part of it. Stretches of spans work on their own part of the text, so that time is not
+    the square of its length.
     """
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS[:4]], F.lit(""), F.lit("<TERM>"))
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    state = lambda at: F.struct(at.alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.element_at(names, x["kind"] + 1))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
+    def within(y: Column) -> Column:
+        """What a stretch y (at, spans, part: the text from at to the stretch's end) gives."""
+
+        def step(acc: Column, x: Column) -> Column:
+            fresh = x["start"] >= acc["at"]
+            piece = F.concat(acc["out"], F.substring(y["part"], acc["at"] - y["at"] + 1, x["start"] - acc["at"]), F.element_at(names, x["kind"] + 1))
+            return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(y["spans"], state(y["at"]), step)
+
+    def stretch(acc: Column, x: Column) -> Column:
+        end = F.greatest(acc["at"], F.array_max(F.transform(x, lambda v: v["end"])))
+        own = F.struct(acc["at"].alias("at"), x.alias("spans"), F.substring(text, acc["at"] + 1, end - acc["at"]).alias("part"))
+        got = F.element_at(F.transform(F.transform(F.array(own), within), lambda v: F.struct(v["at"].alias("at"), F.concat(acc["out"], v["out"]).alias("out"))), 1)
+        return got
 
-    return F.aggregate(spans, state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    cut = F.transform(F.sequence(F.lit(1), F.size(spans), F.lit(STRETCH)), lambda i: F.slice(spans, i, F.lit(STRETCH)))
+    return F.aggregate(cut, state(F.lit(0)), stretch, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
