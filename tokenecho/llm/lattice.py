@@ -92,18 +92,24 @@ def cells(unit: np.ndarray, planes: np.ndarray, probes: int = PROBES) -> tuple[n
     return np.stack(home, axis=1), np.stack(look, axis=1)
 
 
-def _linked(t: pa.Table, cosine: float) -> np.ndarray:
-    x = np.frombuffer(b"".join(t["vec"].to_pylist()), np.float32).reshape(t.num_rows, -1).astype(np.float64)
-    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+def _unit(vecs: list[bytes], kind: str) -> np.ndarray:
+    """Rows of length 1, in double precision; scaled by their largest component first, so that squares stay finite."""
+    x = np.frombuffer(b"".join(vecs), kind).reshape(len(vecs), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _linked(t: pa.Table, cosine: float, kind: str) -> np.ndarray:
+    x = _unit(t["vec"].to_pylist(), kind)
     link = x @ x.T >= cosine
     np.fill_diagonal(link, False)
     return link
 
 
-def _forest(cosine: float):
+def _forest(cosine: float, kind: str):
     def forest(batches):
         for t in by_group(batches, ["cell", "i", "j"]):
-            link = _linked(t, cosine)
+            link = _linked(t, cosine, kind)
             home = t["home"].to_numpy()
             link &= home[:, None] | home
             if not link.any():
@@ -121,10 +127,10 @@ def _forest(cosine: float):
     return forest
 
 
-def _counts(cosine: float):
+def _counts(cosine: float, kind: str):
     def counts(batches):
         for t in by_group(batches, ["component", "i", "j"]):
-            link, sub = _linked(t, cosine), t["sub"].to_numpy()
+            link, sub = _linked(t, cosine, kind), t["sub"].to_numpy()
             if t["i"][0].as_py() != t["j"][0].as_py():
                 link &= sub[:, None] != sub
             yield pa.RecordBatch.from_arrays([t["id"].combine_chunks(), pa.array((link * t["w"].to_numpy()).sum(axis=1))], ["id", "links"])
@@ -132,35 +138,40 @@ def _counts(cosine: float):
     return counts
 
 
-def _usable(batches):
-    for batch in batches:
-        keys, vecs = [], []
-        for x in batch.column("embedding"):
-            v = None
-            if x.is_valid and x.values is not None and x.values.null_count == 0 and len(x.values):
-                v = x.values.to_numpy(zero_copy_only=False).astype(np.float32)
-                if not np.isfinite(v).all() or not v.any():
-                    v = None
-            keys.append(None if v is None else hashlib.blake2b(v.tobytes(), digest_size=16).digest())
-            vecs.append(None if v is None else v.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], ["vec_id", "same", "vec"])
-
-
-def _memberships(batches):
-    for batch in batches:
-        size = np.array([len(v) for v in batch.column("vec").to_pylist()], np.int64)
-        for n in np.unique(size):  # vectors of other lengths never meet
-            own = batch.filter(pa.array(size == n))
-            x = np.frombuffer(b"".join(own.column("vec").to_pylist()), np.float32).reshape(own.num_rows, -1).astype(np.float64)
-            x /= np.sqrt((x * x).sum(axis=1))[:, None]
-            planes, ids = projections(x.shape[1]), own.column("id").to_numpy()
-            for lo in range(0, len(x), 512):
-                home, look = cells(x[lo : lo + 512], planes)
-                every = np.concatenate([home[:, :, None], look], axis=2)
-                flag = np.zeros(every.shape, bool)
-                flag[:, :, 0] = True
-                cell = mix(every.ravel() + U64(n)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.repeat(ids[lo : lo + 512], every[0].size)), pa.array(flag.ravel())], ["cell", "id", "home"])
+def _usable(kind: str):
+    def usable(batches):
+        for batch in batches:
+            keys, vecs = [], []
+            for x in batch.column("embedding"):
+                v = None
+                if x.is_valid and x.values is not None and x.values.null_count == 0 and len(x.values):
+                    v = x.values.to_numpy(zero_copy_only=False).astype(kind)
+                    if not np.isfinite(v).all() or not v.any():
+                        v = None
+                keys.append(None if v is None else hashlib.blake2b(v.tobytes(), digest_size=16).digest())
+                vecs.append(None if v is None else v.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], ["vec_id", "same", "vec"])
+
+    return usable
+
+
+def _memberships(kind: str):
+    def memberships(batches):
+        for batch in batches:
+            size = np.array([len(v) for v in batch.column("vec").to_pylist()], np.int64)
+            for n in np.unique(size):  # vectors of other lengths never meet
+                own = batch.filter(pa.array(size == n))
+                x = _unit(own.column("vec").to_pylist(), kind)
+                planes, ids = projections(x.shape[1]), own.column("id").to_numpy()
+                for lo in range(0, len(x), 512):
+                    home, look = cells(x[lo : lo + 512], planes)
+                    every = np.concatenate([home[:, :, None], look], axis=2)
+                    flag = np.zeros(every.shape, bool)
+                    flag[:, :, 0] = True
+                    cell = mix(every.ravel() + U64(n)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.repeat(ids[lo : lo + 512], every[0].size)), pa.array(flag.ravel())], ["cell", "id", "home"])
+
+    return memberships
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -173,25 +184,27 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "lattice")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("embedding"))
-    rows = scratch.save(rows.mapInArrow(_usable, "vec_id long, same binary, vec binary"), "rows")
+    # floats travel as they are, other numbers as doubles
+    name, kind = ("float", "<f4") if vectors.select(vec_col).schema[0].dataType.simpleString() == "array<float>" else ("double", "<f8")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(f"array<{name}>").alias("embedding"))
+    rows = scratch.save(rows.mapInArrow(_usable(kind), "vec_id long, same binary, vec binary"), "rows")
     good = rows.where("same IS NOT NULL AND vec_id IS NOT NULL")
     classes = scratch.save(good.groupBy("same").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"), F.first("vec").alias("vec")), "classes")
 
-    members = scratch.save(classes.select("id", "vec").mapInArrow(_memberships, "cell long, id long, home boolean"), "members")
+    members = scratch.save(classes.select("id", "vec").mapInArrow(_memberships(kind), "cell long, id long, home boolean"), "members")
     members = members.groupBy("cell", "id").agg(F.max("home").alias("home"))
     live = members.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where("n > 1 AND any_home").select("cell", "n")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts_of = lambda: F.ceil(F.col("n") / F.lit(STRETCH))
     met = stretches(members.join(live, "cell"), parts_of()).join(classes.select("id", "vec"), "id").select("cell", "i", "j", "id", "home", "vec")
     met = met.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    edges = met.mapInArrow(_forest(cosine), "u long, v long")
+    edges = met.mapInArrow(_forest(cosine, kind), "u long, v long")
     comp = scratch.save(components(scratch, edges), "components")
 
     sized = comp.join(comp.groupBy("component").agg(F.count("*").alias("n")), "component")
     inside = stretches(sized, parts_of()).join(classes.select("id", "vec", "w"), "id").select("component", "i", "j", "sub", "id", "w", "vec")
     inside = inside.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    links = inside.mapInArrow(_counts(cosine), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    links = inside.mapInArrow(_counts(cosine, kind), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
     named = classes.select("same", "id", "w").join(comp, "id", "left").join(links, "id", "left")
     named = named.select("same", F.coalesce("component", "id").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"))
