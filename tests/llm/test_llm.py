@@ -132,6 +132,21 @@ def test_pii_counts_and_removes_in_whole_documents(spark):
         assert [f"{k}:{s}:{e}" for s, k, e in expected] == [x for x in spans[i] if not x.startswith("email")]
 
 
+def test_sanitise_keeps_columns_of_any_name(spark):
+    names = ["key", "all", "row", "base", "added"]
+    df = spark.createDataFrame([(i, t, *([f"k{i}"] * 5)) for i, t in enumerate(["a@b.org x", None, "", "plain"])] + [(None, "a@b.org x", *("n",) * 5)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    out = pii.sanitise(df)
+    assert out.columns == df.columns
+    assert sorted(map(str, out.collect())) == sorted(str(r).replace("a@b.org", "<EMAIL>") for r in df.collect())
+
+
+def test_redaction_of_many_spans(spark):
+    mails = " ".join(f"né u{i}@x{i % 7}.org, 10.0.{i % 250}.7;" for i in range(1500))
+    df = spark.createDataFrame([(1, mails), (2, "4111 1111 1111 1111"), (3, "nothing")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert out == {1: " ".join(["né <EMAIL>, <IP>;"] * 1500), 2: "<CARD>", 3: "nothing"}
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     size = [len(WORD.findall(t or "")) for t in TEXTS.values()]
@@ -362,6 +377,13 @@ def test_lattice(spark, vectors):
     assert lattice.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_lattice_in_double_precision(spark):
+    r = np.random.default_rng(14).standard_normal(16)
+    rows = [(1, (r * 1e200).tolist()), (2, (r * 1e-200).tolist()), (3, r.tolist()), (4, (-r).tolist()), (5, (r + 1e-12).tolist()), (6, [float("inf")] * 16)]
+    out = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert out == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1), 6: (0, 6)}
+
+
 def test_e8_points_are_nearest():
     x = np.random.default_rng(1).standard_normal((500, 8)) * 2
     p = lattice.decode(x)
@@ -447,6 +469,11 @@ def test_shards(docs, empty):
         own = [r for r in out if r["shard"] == k]
         assert sorted(r["slot"] for r in own) == list(range(len(own)))
         assert abs(sum(r["size"] for r in own) - total / 4) <= largest
+    texts = [r["text"] or "" for r in docs.collect()]
+    ordered = [r["text_crc32"] for r in sorted(out, key=lambda r: (r["shard"], r["slot"]))]
+    for t in texts:  # equal texts stand side by side
+        at = [k for k, c in enumerate(ordered) if c == zlib.crc32(t.encode())]
+        assert at == list(range(at[0], at[0] + texts.count(t)))
 
 
 def test_components(spark):

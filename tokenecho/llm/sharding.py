@@ -22,7 +22,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     border falls into it; a group may be larger than a shard and still be balanced. A
     row goes to the shard in which the middle of its bytes lies, so a shard's bytes
     differ from the target by half a document at each border at most. A null text counts
-    as empty, rows with null or repeated ids each get a place, an empty table gives no
+    as empty and stands with the empty ones, rows with null or repeated ids each get a place, an empty table gives no
     rows, other columns are ignored.
     """
     spark = docs.sparkSession
@@ -32,11 +32,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.when(F.col(text_col).isNotNull(), F.xxhash64(text)).alias("copy"),
+        F.unhex(F.md5(text.cast("binary"))).alias("copy"),
     )
     rows = scratch.save(rows, "rows")
-    first = rows.where("copy IS NOT NULL").groupBy("copy", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    placed = rows.join(first.drop("n"), ["copy", "size"], "left").withColumn("first", F.coalesce("first", "doc_id", F.lit(2**63 - 1)))
+    first = rows.groupBy("copy").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = scratch.save(first.drop("n"), "copies")  # read back, so that the join can split a group of copies
+    placed = rows.join(first, "copy", "left").withColumn("first", F.coalesce("first", "doc_id", F.lit(2**63 - 1)))
     order = ["first", "copy", F.coalesce("doc_id", F.lit(2**63 - 1))]
     ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = placed.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id())
