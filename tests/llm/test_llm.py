@@ -272,11 +272,12 @@ def test_minhash_components(spark, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_minhash_shingles_of_five_words(spark):
-    def fives(text):
-        w = [x.lower() if x.isascii() else x for x in WORD.findall(text or "")]
-        return set(zip(*(w[k:] for k in range(5)))) if len(w) > 4 else {tuple(w)} if w else set()
+def fives(text):
+    w = [x.lower() if x.isascii() else x for x in WORD.findall(text or "")]
+    return set(zip(*(w[k:] for k in range(5)))) if len(w) > 4 else {tuple(w)} if w else set()
 
+
+def test_minhash_shingles_of_five_words(spark):
     r, w = np.random.default_rng(9), [f"w{k}" for k in range(200)]
     changed = lambda n: " ".join(f"new{i}" if k in at else x for at in [set(r.choice(200, n, False).tolist())] for k, x in enumerate(w) for i in [r.integers(0, 99)])
     texts = [" ".join(w), *(changed(n) for n in (1, 2, 3, 4, 8, 9, 10, 11)), "a b c d", "A b c d", "a b c", "", None]
@@ -363,6 +364,29 @@ def test_topk(spark, vectors):
     assert topk.top_k(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_topk_reads_lists_in_order(monkeypatch):
+    r = np.random.default_rng(20)
+    x = np.floor(r.standard_normal((500, 8)) * 1024)
+    places = np.argsort(x, axis=0, kind="stable").T
+    lists = topk.Lists(np.arange(500), np.take_along_axis(x.T, places, 1), places, x)
+    for i in range(0, 500, 50):
+        score, ids = lists.best(x[i], i, 10, -np.inf)
+        brute = sorted(((-(x[j] @ x[i]), j) for j in range(500) if j != i))[:10]
+        assert ids.size < 250 and sorted(zip((-score).tolist(), ids.tolist()))[:10] == brute
+
+
+def test_topk_of_queries_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 200)
+    r = np.random.default_rng(21)
+    x = r.standard_normal((60, 4))
+    df = spark.createDataFrame([(i % 50, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(7, x[7].tolist()), (7, x[7].tolist()), (7, x[57].tolist()), (900, x[3].tolist())], df.schema)
+    z = np.floor(1024 * x)
+    brute = lambda own, q: [(own, k + 1, j % 50, int(s)) for k, (s, _, j) in enumerate(sorted(((z[j] @ np.floor(1024 * q), -(j % 50), j) for j in range(60) if j % 50 != own), key=lambda y: (-y[0], -y[1]))[:3])]
+    expected = brute(7, x[7]) + brute(7, x[57]) + brute(900, x[3])
+    assert sorted(map(tuple, topk.top_k(df, asked, 3).collect())) == sorted(expected)
+
+
 def test_lattice(spark, vectors):
     x, df = vectors
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
@@ -489,20 +513,51 @@ def test_word_hashes_do_not_depend_on_slices():
     assert all(np.array_equal(x, y) for x, y in zip(a, b)) and len(a[0]) == len(WORD.findall(text.tobytes().decode()))
 
 
+def encoded(text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    ids = t.encode(text or "", add_special_tokens=False).ids
+    return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = common.documents(spark, "/root/testdata/sf0.001")
-    names = docs.columns
+    odd = [(9001, None, "en", "s", 0), (9002, "", None, "s", 0), (9003, "12 !!", "en", None, 5), (None, "plain words and more of them", None, "s", 28), (9005, None, None, None, None)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in ("key", "all", "row", "score", "lang_pred", "times", "size", "b")})
     stages = dict(pipeline.STAGES)
+    rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
+    same = lambda out, keep: sorted(map(str, out.collect())) == sorted(map(str, keep))
+
     spoken = stages["language"](spark, docs, "")
-    kept = stages["near_duplicates"](spark, docs, "")
-    clean = stages["private_data"](spark, docs, "")
-    mixed = stages["mix"](spark, docs, "")
-    assert spoken.columns == kept.columns == clean.columns == mixed.columns == names
-    rows = docs.collect()
-    assert spoken.count() == sum(bool(re.search(r"[^\W\d_]", r["text"] or "")) for r in rows)
-    expected = components_of([shingles(r["text"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
-    ids = sorted(r["doc_id"] for r in rows)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [i for k, i in enumerate(ids) if expected[k] == k]
-    assert clean.count() == len(rows) and not any(base(r["text"]) for r in clean.where(F.col("text").contains("@")).collect() if "@" in (r["text"] or "") and "email:" in base(r["text"]))
-    assert mixed.count() > 0
+    assert spoken.columns == docs.columns
+    kept = {r["doc_id"]: r for r in spoken.collect()}
+    assert set(kept) == {r["doc_id"] for r in rows if re.search(r"[^\W\d_]", r["text"] or "")}
+    assert all(kept[r["doc_id"]].asDict() == r.asDict() | {"lang": r["lang"] or kept[r["doc_id"]]["lang"]} for r in rows if r["doc_id"] in kept)
+    assert all(r["lang"] for r in kept.values())
+
+    own = [r for r in rows if r["doc_id"] is not None]
+    found = components_of([fives(r["text"]) for r in own])
+    assert same(stages["near_duplicates"](spark, docs, ""), [r for k, r in enumerate(own) if found[k] == k] + [r for r in rows if r["doc_id"] is None])
+
+    clean = {r["doc_id"]: r for r in stages["private_data"](spark, docs, "").collect()}
+    spans = {r["doc_id"]: [x.split(":") for x in r["spans"].split(",") if x] for r in pii.find_private(docs).collect()}
+    assert len(clean) == len(rows)
+    for r in rows:
+        text, at = "", 0
+        for kind, a, z in spans[r["doc_id"]]:
+            if int(a) >= at:
+                text += r["text"][at : int(a)] + {"remove": "", "generalise": "<TERM>"}.get(kind, f"<{kind.upper()}>")
+            at = max(at, int(z))
+        text = None if r["text"] is None else text + r["text"][at:]
+        assert clean[r["doc_id"]].asDict() == r.asDict() | {"text": text, "n_chars": None if text is None else len(text)}
+
+    taken = mixing.mix(docs).collect()
+    times = {r["doc_id"]: int(r["taken"] / max(1, r["size"]) + 0.5) for r in taken}
+    assert same(stages["mix"](spark, docs, ""), [r for r in rows for _ in range(times[r["doc_id"]])])
+
+    out = stages["encode"](spark, docs, "").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert same(out, [pytest.importorskip("pyspark.sql").Row(doc_id=r["doc_id"], n_tokens=n, ids_sha256=a, decoded_sha256=b) for r in rows for n, a, b in [encoded(r["text"])]])
+    empty = docs.limit(0)
+    assert all(stages[name](spark, empty, "").count() == 0 for name in stages)

@@ -1,16 +1,21 @@
 """Exact top-k inner products by aggregation of sorted lists without random access.
 
-A stretch of candidates keeps one list per dimension, sorted by component. For a query
-the lists are read from the end where a component adds most, all to the same depth.
-What has been read of a candidate, with the least and the most that its unread lists can
-add, bounds its score from both sides. Candidates whose upper bound is below the k-th
-best lower bound, here or in an earlier stretch, are out; reading stops when the rest
-are few, and their final scores are resolved.
+Candidates are dealt into stretches, and each stretch is stored once as one list per
+dimension, sorted by component. For a query the lists are read in their order, from the
+end where a component adds most, all to the same depth. What has been read of a candidate,
+with the least and the most that its unread lists can add, bounds its score from both
+sides. Candidates whose upper bound is below the k-th best lower bound, here or in an
+earlier stretch, are out; reading stops when the rest are few, and only their unread
+components are looked up, which resolves their scores.
+
+Queries come to the stored lists in blocks of bounded size, by broadcast; no list is
+exchanged.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,48 +24,51 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Vectors whose lists are read together; stretches that one task reads in turn; queries of a task.
-STRETCH, STRETCHES, QUERIES = 4096, 2, 512
+#: Vectors of a stretch; bytes of a block of queries, each of which is one pass over the lists.
+STRETCH, BLOCK = 4096, 16_000_000
 #: Bounds are drawn at these depths of the lists; with this many times k candidates left the rest is resolved.
 DEPTHS, FEW = (1 / 16, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8), 4
 
 
 class Lists:
-    def __init__(self, x: np.ndarray, ids: np.ndarray):
-        self.x, self.ids, self.order = x, ids, np.argsort(x, axis=0, kind="stable")
-        self.low, self.high = x.min(axis=0), x.max(axis=0)
+    """One sorted list per dimension: values[d] rise, places[d] are their candidates; rows are for resolving."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray, places: np.ndarray, rows: np.ndarray):
+        self.ids, self.values, self.places, self.rows = ids, values, places, rows
 
     def best(self, q: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Scores and ids of all that can be among the k best with a score of at least floor."""
-        m, d = self.x.shape
+        d, m = self.values.shape
         alive = np.flatnonzero(self.ids != own)
-        add = self.x * q
-        least = np.minimum(self.low * q, self.high * q)
-        up, cols = q >= 0, np.arange(d)
-        seen = np.zeros((m, d), bool)
+        least = np.minimum(self.values[:, 0] * q, self.values[:, -1] * q)
+        up, down = np.flatnonzero(q >= 0), np.flatnonzero(q < 0)
+        have, seen = np.zeros((m, d)), np.zeros((m, d), bool)
         lo = 0
         for depth in DEPTHS:
             hi = int(m * depth)
             if hi == lo:
                 continue
-            seen[self.order[lo:hi][:, ~up], cols[~up]] = True
-            seen[self.order[m - hi : m - lo][:, up], cols[up]] = True
+            edge = np.empty(d)
+            for cols, part, last in ((up, slice(m - hi, m - lo), m - hi), (down, slice(lo, hi), hi - 1)):
+                at = self.places[cols, part]
+                have[at, cols[:, None]] = self.values[cols, part] * q[cols, None]
+                seen[at, cols[:, None]] = True
+                edge[cols] = self.values[cols, last] * q[cols]
             lo = hi
-            edge = np.where(up, self.x[self.order[m - hi, cols], cols], self.x[self.order[hi - 1, cols], cols]) * q
-            read = seen[alive]
-            have = np.einsum("md,md->m", add[alive], read)
-            unread = ~read
+            got, unread = have[alive].sum(axis=1), ~seen[alive]
             if alive.size >= k:
-                sure = have + unread @ least
+                sure = got + unread @ least
                 floor = max(floor, np.partition(sure, alive.size - k)[alive.size - k])
-            alive = alive[have + unread @ edge >= floor]
+            alive = alive[got + unread @ edge >= floor]
             if alive.size <= FEW * k:
                 break
-        return add[alive].sum(axis=1), self.ids[alive]
+        score = have[alive].sum(axis=1)
+        at, col = np.nonzero(~seen[alive])
+        return score + np.bincount(at, self.rows[alive[at], col] * q[col], alive.size), self.ids[alive]
 
 
-def _matrix(t: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(t["vec"].to_pylist()), "<f8").reshape(t.num_rows, -1)
+def _vectors(vecs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(vecs), "<f8").reshape(len(vecs), -1)
 
 
 def _scaled(batches):
@@ -76,38 +84,67 @@ def _scaled(batches):
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(vecs, pa.binary()), pa.array(size, pa.int32())], ["vec_id", "vec", "dim"])
 
 
-def _search(k: int):
-    def search(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        if queries.num_rows and candidates.num_rows:
-            x, ids = _matrix(candidates), candidates["vec_id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            x, ids = x[order], ids[order]
-            q, own = _matrix(queries), queries["vec_id"].to_numpy()
-            exact = np.abs(q).max() * np.abs(x).max() * x.shape[1] < 2**52
-            best = [(np.empty(0), np.empty(0, np.int64))] * len(q)
-            for lo in range(0, len(x), STRETCH):
-                lists = Lists(x[lo : lo + STRETCH], ids[lo : lo + STRETCH])
+_LISTS = "dim int, ids binary, vecs binary, vals binary, places binary"
+
+
+def _sorted_lists(t: pa.Table) -> pa.Table:
+    """A stretch: its ids in order, its rows, and its lists."""
+    ids = t["vec_id"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    x = _vectors(t["vec"].to_pylist())[order]
+    places = np.argsort(x, axis=0, kind="stable").T.astype(np.int32)
+    out = [ids[order], x, np.take_along_axis(x.T, places, 1), places]
+    return pa.table([pa.array([x.shape[1]], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in out]], names=[c.split()[0] for c in _LISTS.split(", ")])
+
+
+def _search(k: int, sent):
+    def search(batches):
+        blocks = {dim: (own, x, [(np.empty(0), np.empty(0, np.int64))] * len(own)) for dim, (own, x) in sent.value.items()}
+        for batch in batches:
+            for row in batch.to_pylist():
+                dim = row["dim"]
+                if dim not in blocks:
+                    continue
+                own, q, best = blocks[dim]
+                ids = np.frombuffer(row["ids"], np.int64)
+                values, rows = np.frombuffer(row["vals"], "<f8").reshape(dim, -1), np.frombuffer(row["vecs"], "<f8").reshape(-1, dim)
+                lists = Lists(ids, values, np.frombuffer(row["places"], np.int32).reshape(dim, -1), rows)
+                exact = np.abs(q).max() * np.abs(values).max() * dim < 2**52
                 for i in range(len(q)):
                     have, who = best[i]
                     if exact:
                         score, cand = lists.best(q[i], own[i], k, have[k - 1] if have.size >= k else -math.inf)
                     else:  # products beyond doubles: whole numbers of Python, cut to 64 bits
-                        cand = lists.ids[lists.ids != own[i]]
+                        cand = ids[ids != own[i]]
                         w = [int(v) for v in q[i]]
-                        score = np.array([max(-(2**63), min(2**63 - 1, sum(a * int(b) for a, b in zip(w, r)))) for r in lists.x[lists.ids != own[i]]], object)
+                        score = np.array([max(-(2**63), min(2**63 - 1, sum(a * int(b) for a, b in zip(w, r)))) for r in rows[ids != own[i]]], object)
                     score, cand = np.concatenate((have, score)), np.concatenate((who, cand))
                     top = np.array(sorted(range(len(cand)), key=lambda j: (-score[j], cand[j]))[:k], int)
                     best[i] = (score[top], cand[top])
-            for i, (score, cand) in enumerate(best):
-                out[0].extend([int(own[i])] * len(cand))
-                out[1].extend(cand.tolist())
-                out[2].extend(int(s) for s in score)
-        return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
+        for dim, (own, _, best) in blocks.items():
+            n = [len(who) for _, who in best]
+            columns = (np.repeat(own, n).tolist(), np.repeat(np.arange(len(own)), n).tolist(), [dim] * sum(n), [x for _, who in best for x in who.tolist()], [int(x) for score, _ in best for x in score])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "nth", "dim", "vec_id", "score"])
 
     return search
 
 
+def _blocks(asked: DataFrame) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Queries in blocks of bounded size: ids and vectors by dimension."""
+    held: dict[int, tuple[list, list]] = {}
+    size = 0
+    for r in asked.toLocalIterator(prefetchPartitions=True):
+        ids, vecs = held.setdefault(r["dim"], ([], []))
+        ids.append(r["vec_id"])
+        vecs.append(bytes(r["vec"]))
+        size += len(vecs[-1])
+        if size >= BLOCK:
+            yield {dim: (np.array(i, np.int64), _vectors(v)) for dim, (i, v) in held.items()}
+            held, size = {}, 0
+    if held:
+        yield {dim: (np.array(i, np.int64), _vectors(v)) for dim, (i, v) in held.items()}
+
+
 def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of floor(1024 x) for each query.
 
@@ -115,22 +152,32 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, id_
     A query's own id is no candidate; ties go to smaller ids; fewer than k candidates give
     fewer rows. Vectors that are null, empty or hold null or non-finite components, and rows
     with a null id, take no part; vectors of other lengths are no candidates; repeated rows
-    count one by one; an empty table gives no rows; other columns are ignored. Scores beyond
-    64 bits are cut to them.
+    count one by one as candidates. A repeated query is asked once; different vectors under
+    one id are different queries, each with ranks of its own. An empty table gives no rows;
+    other columns are ignored. Scores beyond 64 bits are cut to them.
     """
-    scratch = Scratch(vectors.sparkSession, "topk")
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "topk")
 
     def scaled(df: DataFrame) -> DataFrame:
         df = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding"))
         return df.mapInArrow(_scaled, "vec_id long, vec binary, dim int").where("vec_id IS NOT NULL AND vec IS NOT NULL")
 
     rows = scratch.save(scaled(vectors), "vectors")
-    asked = rows.where("vec_id % 100 = 0") if queries is None else scratch.save(scaled(queries), "queries")
-    n, m = rows.count(), asked.count()
-    groups, batches = max(1, math.ceil(n / (STRETCH * STRETCHES))), max(1, math.ceil(m / QUERIES))
-    deal = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    left = asked.dropDuplicates(["vec_id", "vec"]).withColumn("qb", deal(batches)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = rows.withColumn("g", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(groups)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
-    found = left.groupBy("qb", "g", "dim").cogroup(right.groupBy("qb", "g", "dim")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = rows.where("vec_id % 100 = 0") if queries is None else scaled(queries)
+    asked = scratch.save(asked.dropDuplicates(["vec_id", "vec"]), "queries")
+    groups = max(1, math.ceil(rows.count() / STRETCH))
+    lists = rows.withColumn("g", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(groups)).cast("int")).groupBy("g", "dim").applyInArrow(_sorted_lists, _LISTS)
+    lists = scratch.save(lists, "lists")
+    found = []
+    for n, block in enumerate(_blocks(asked)):
+        sent = spark.sparkContext.broadcast(block)  # BLOCK bytes and a vector
+        found.append(scratch.save(lists.mapInArrow(_search(k, sent), "query_id long, nth long, dim long, vec_id long, score long").withColumn("block", F.lit(n)), f"found-{n}"))
+        sent.unpersist()
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    order = Window.partitionBy("query_id", "block", "dim", "nth").orderBy(F.desc("score"), "vec_id")
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
