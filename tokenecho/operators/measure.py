@@ -137,7 +137,8 @@ def schema_reuse(prompts: DataFrame, least: int = 500, joiner: str = "", owner:
 
 def block_reuse(snaps: DataFrame, size: int = BLOCK) -> DataFrame:
     """Reuse of blocks of tokens wherever they stand, over (sid, snap, text): one row."""
-    rows = blocks(snaps, ["sid", "snap"], size=size)
+    # the key is exchanged, the tokens are not
+    rows = blocks(snaps, ["sid", "snap"], size=size).withColumn("block", F.unhex(F.md5(F.col("block").cast("binary"))))
     owned = ledger.first_owners(rows, "block", ["sid", "snap", "q"])
     again = (F.struct("sid", "snap", "q") != F.col("first")).cast("int")
     each = owned.groupBy("sid", "snap").agg(F.count("*").alias("t"), F.sum(again).alias("r"))
@@ -150,8 +151,9 @@ def block_reuse(snaps: DataFrame, size: int = BLOCK) -> DataFrame:
 def line_dedup(snaps: DataFrame, text: str = "text") -> DataFrame:
     """Characters in lines, and in lines seen before; lines stripped, blank ones left out: one row."""
     lines = snaps.select(F.explode(F.split(text, "\n", -1)).alias("line")).select(F.trim("line").alias("line")).where("line <> ''")
-    each = lines.groupBy("line").agg(F.count("*").alias("k"))
-    n = F.length("line")
+    # a hash and a length are exchanged, lines are not
+    each = lines.select(F.unhex(F.md5(F.col("line").cast("binary"))).alias("key"), F.length("line").alias("n")).groupBy("key", "n").agg(F.count("*").alias("k"))
+    n = F.col("n")
     return each.agg(_if(F.lit(True), n * F.col("k")).alias("total_chars"), _if(F.lit(True), n * (F.col("k") - 1)).alias("dup_chars")).withColumn("dup_pct", percent(F.col("dup_chars"), F.col("total_chars")))
 
 
@@ -161,7 +163,7 @@ def head_once(steps: DataFrame, least: int = 500, size: int = BLOCK) -> DataFram
     The observation lines that the prefix cache already serves are skipped first fit: a
     line that does not fit is kept and later, shorter ones may still be skipped.
     """
-    rows = steps.withColumn("pid", F.col("sid") * 1_000_000 + F.col("step"))
+    rows = steps.withColumn("pid", F.struct("sid", "step"))
     rows = rows.withColumn("head_n", n_tokens(F.col("head"))).withColumn("obs_n", n_tokens(F.concat("head", "obs")) - F.col("head_n"))
     served = chained_prefix(rows.select("pid", F.concat("head", "obs").alias("text")), size=size).select("pid", (F.col("cut") * size).alias("served"))
     rows = rows.join(served, "pid", "left").withColumn("served", F.coalesce("served", F.lit(0)))

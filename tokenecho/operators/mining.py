@@ -56,6 +56,15 @@ def churn(values: DataFrame, support: int = 200, sample: int = 2000) -> DataFram
     return out.select("field", "occurrences", F.round("mean_jaccard", 3).alias("mean_jaccard"), F.round("machine_frac", 2).alias("machine_frac"), F.round("distinct_ratio", 2).alias("distinct_ratio"))
 
 
+def compared(snaps: DataFrame, hand: list[str], support: int = 200) -> DataFrame:
+    """Reuse of token blocks as it is, under the mined mask and under a mask made by hand: a row each, with its fields."""
+    out = None
+    for spec, fields in (("raw", []), ("mined", mine(snaps, support)), ("hand", hand)):
+        row = measure.block_reuse(snaps.withColumn("text", treat.mask_all(F.col("text"), fields))).select(F.lit(spec).alias("spec"), F.lit(",".join(fields)).alias("fields"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def mine(snaps: DataFrame, support: int = 200, ceiling: float = 0.9, gain: float = 0.5, positions: bool = False) -> list[str]:
     """Fields whose masking raises the share of duplicate lines by `gain` points, tried in order of churn.
 
@@ -68,7 +77,7 @@ def mine(snaps: DataFrame, support: int = 200, ceiling: float = 0.9, gain: float
         return measure.line_dedup(snaps.withColumn("text", treat.mask_all(F.col("text"), fields))).first()["dup_pct"]
 
     base = share([])
-    for row in table.orderBy("mean_jaccard", "field").limit(1000).collect():
+    for row in table.orderBy("mean_jaccard", "field").toLocalIterator():
         more = share([*chosen, row["field"]]) - base
         if more >= gain:
             chosen.append(row["field"])

@@ -63,10 +63,34 @@ def reads(messages: DataFrame, viewer: str, text: str = "text") -> DataFrame:
     return rows.where(F.size("lines") >= 2)
 
 
+def code_messages(events: DataFrame) -> DataFrame:
+    """Events of sources.readers.code_events as messages: (traj_id, instance_id, msg, role, text, tool, call).
+
+    Calls are generated, results are input; a result has the tool and path of its call.
+    """
+    calls = match_calls(events.withColumn("task", F.col("traj")).withColumn("traj", F.col("run"))).select(F.col("traj").alias("run"), "seq", F.col("path").alias("call"), F.col("tool").alias("used"))
+    role = F.when(F.col("kind") == "tool_use", "assistant").when(F.col("kind") == "tool_result", "user").otherwise(F.col("role"))
+    rows = events.join(calls, ["run", "seq"], "left")
+    return rows.select(F.col("run").alias("traj_id"), F.col("traj").alias("instance_id"), F.col("seq").alias("msg"), role.alias("role"), "text", F.coalesce("used", "tool").alias("tool"), F.coalesce("call", "path").alias("call"))
+
+
+def read_trajectories(messages: DataFrame, viewer: str) -> DataFrame:
+    """(traj_id, reads, n_msgs, msg_chars, read_chars) of the trajectories that show a file.
+
+    messages: traj_id, msg, text, and path where the viewer's calls name it.
+    """
+    shown = reads(messages.select("traj_id", "msg", "text", *[c for c in messages.columns if c == "path"]), viewer)
+    chars = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
+    shown = shown.groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("msg", "nth", "path", "lines"))).alias("reads"), F.sum(chars).alias("read_chars"))
+    sizes = messages.groupBy("traj_id").agg(F.countDistinct("msg").alias("n_msgs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("msg_chars"))
+    return shown.join(sizes, "traj_id").select("traj_id", F.transform("reads", lambda r: F.struct(r["path"].alias("path"), r["lines"].alias("lines"))).alias("reads"), "n_msgs", "msg_chars", "read_chars")
+
+
 def match_calls(events: DataFrame) -> DataFrame:
-    """Tool results of (traj, seq, kind, use_id, path, text) with the path of the last earlier call of that id, or `?`."""
-    calls = events.where("kind = 'tool_use'").select("traj", "use_id", F.col("seq").alias("call_seq"), F.col("path").alias("call_path"))
+    """Tool results of (traj, seq, kind, use_id, path, text) with the path of the last earlier call of that id, or `?`, and its tool."""
+    tool = F.col("tool") if "tool" in events.columns else F.lit(None).cast("string")
+    calls = events.where("kind = 'tool_use'").select("traj", "use_id", F.col("seq").alias("call_seq"), F.col("path").alias("call_path"), tool.alias("call_tool"))
     results = events.where("kind = 'tool_result'").select("traj", "seq", "use_id", "text")
     met = results.join(calls, ["traj", "use_id"], "left").withColumn("early", F.col("call_seq") < F.col("seq"))
-    best = met.groupBy("traj", "seq", "use_id", "text").agg(F.max(F.when(F.col("early"), F.struct("call_seq", "call_path"))).alias("call"))
-    return best.select("traj", "seq", "use_id", "text", F.coalesce("call.call_path", F.lit("?")).alias("path"))
+    best = met.groupBy("traj", "seq", "use_id", "text").agg(F.max(F.when(F.col("early"), F.struct("call_seq", "call_path", "call_tool"))).alias("call"))
+    return best.select("traj", "seq", "use_id", "text", F.coalesce("call.call_path", F.lit("?")).alias("path"), *([F.col("call.call_tool").alias("tool")] if "tool" in events.columns else []))

@@ -57,6 +57,11 @@ def relocate_positions(line: Column, at: tuple[int, ...] = (1, 4), least: int =
     return F.when(long, F.array_join(stay, " ")).otherwise(line), F.when(long, F.array_join(moved, " ")).otherwise(F.lit(""))
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON written anew; other text stays."""
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
+
+
 def relocate_envelope(text: Column) -> tuple[Column, Column]:
     """(body, side) of a JSON envelope {"output": string, "metadata": ...}; other text is its own body."""
     parsed = F.from_json(text, "struct<output:variant,metadata:variant>", {"mode": "PERMISSIVE"})

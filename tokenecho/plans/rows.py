@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import head_of, n_tokens, percent, repo_key
 from ..operators import measure, order, parse, treat
+from ..sources import readers
 
 LEAST = 500
 
 
-def _out(raw: DataFrame, treated: DataFrame | None = None) -> DataFrame:
+def _out(raw: DataFrame, treated: DataFrame | None = None, prefix_of_treated: bool = False) -> DataFrame:
     """One row of percentages from one-row results of measure.disjoint."""
     share = lambda c: percent(F.col(c), F.col("stream_tokens"))
-    a = raw.select("prefix_pct", "pic_pct")
-    b = (treated if treated is not None else raw).select(F.col("pic_pct").alias("pic_proc_pct"), share("in_session").alias("in_session"), share("cross_session").alias("cross_session"))
+    a = raw.select("pic_pct") if prefix_of_treated else raw.select("prefix_pct", "pic_pct")
+    b = (treated if treated is not None else raw).select(*(["prefix_pct"] if prefix_of_treated else []), F.col("pic_pct").alias("pic_proc_pct"), share("in_session").alias("in_session"), share("cross_session").alias("cross_session"))
     return a.crossJoin(b)  # one row each
 
 
@@ -29,8 +30,8 @@ def plain(snaps: DataFrame, least: int = LEAST, dedup: bool = False) -> DataFram
     return _out(measure.disjoint(measure.with_lines(measure.one_per_task(snaps) if dedup else snaps), least))
 
 
-def treated(snaps: DataFrame, after: DataFrame, least: int = LEAST, sidecar: int = 0) -> DataFrame:
-    return _out(measure.disjoint(measure.with_lines(snaps), least), measure.disjoint(measure.with_lines(after), least, sidecar))
+def treated(snaps: DataFrame, after: DataFrame, least: int = LEAST, sidecar: int = 0, prefix_of_treated: bool = False) -> DataFrame:
+    return _out(measure.disjoint(measure.with_lines(snaps), least), measure.disjoint(measure.with_lines(after), least, sidecar), prefix_of_treated)
 
 
 def masked(snaps: DataFrame, fields: list[str], least: int = LEAST) -> DataFrame:
@@ -45,12 +46,16 @@ def replaced(snaps: DataFrame, attribute: str, least: int = LEAST) -> DataFrame:
 
 
 def enveloped(snaps: DataFrame, least: int = LEAST) -> DataFrame:
-    """JSON envelopes: bodies in place, metadata moved to the side; the side counts in the stream."""
-    first = measure.one_per_task(snaps)
+    """JSON envelopes: bodies in place, metadata moved to the side; the side counts in the stream.
+
+    Outputs count if their body has 80 characters; the metadata of shorter ones still counts.
+    """
+    first = measure.one_per_task(snaps).withColumn("text", treat.canonical_json(F.col("text")))
     body, side = treat.relocate_envelope(F.col("text"))
     rows = first.withColumn("body", body).withColumn("side", side)
     moved = rows.agg(F.coalesce(F.sum(n_tokens(F.col("side"))), F.lit(0)).alias("n")).first()["n"]
-    return treated(first, rows.where(F.length("body") >= 80).drop("text").withColumnRenamed("body", "text").drop("side"), least, moved)
+    rows = rows.where(F.length("body") >= 80).drop("side")
+    return treated(rows.drop("body"), rows.drop("text").withColumnRenamed("body", "text"), least, moved)
 
 
 def _joined(lines: DataFrame, text: Column) -> DataFrame:
@@ -59,15 +64,22 @@ def _joined(lines: DataFrame, text: Column) -> DataFrame:
 
 
 def columned_log(lines: DataFrame, at: tuple[int, ...] = (1, 4), least: int = LEAST) -> DataFrame:
-    """Log lines (sid, snap, i, line) with volatile columns moved to the side."""
+    """Log lines (sid, snap, i, line) with volatile columns moved to the side; the prefix is that of the relocated stream."""
     body, side = treat.relocate_positions(F.col("line"), at)
     moved = lines.agg(F.coalesce(F.sum(n_tokens(side)), F.lit(0)).alias("n")).first()["n"]
-    return treated(_joined(lines, F.col("line")), _joined(lines, body), least, moved)
+    return treated(_joined(lines, F.col("line")), _joined(lines, body), least, moved, prefix_of_treated=True)
 
 
 def dialogues(passages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Passages (task, snap, pos, text) are the units of a turn; sessions in the order of their task."""
-    first = order.numbered(passages.select("task").distinct(), ["task"]).withColumnRenamed("rn", "sid")
+    """Passages (task, snap, pos, text) are the units of a turn; sessions by `arrived` or `sid`, where there is one, else by task.
+
+    A task that arrives twice keeps its first session.
+    """
+    by = next((c for c in ("arrived", "sid") if c in passages.columns), "task")
+    met = passages.groupBy("task").agg(F.min(by).alias("first__"))
+    first = order.numbered(met, ["first__", "task"]).withColumnRenamed("rn", "sid")
+    passages = passages.withColumn("by__", F.col(by)).join(met, "task").where("by__ = first__").drop("by__", "first__", "sid")
+    first = first.select("task", "sid")
     rows = passages.join(first, "task").groupBy("sid", "snap", "task").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("lines"))
     return _out(measure.disjoint(rows.withColumn("n", F.transform("lines", n_tokens)), least))
 
@@ -92,9 +104,13 @@ def aligned(tasks: DataFrame, documents: DataFrame, least: int = LEAST) -> DataF
 
 def coding(messages: DataFrame, least: int = LEAST, most: int = 1000) -> DataFrame:
     """Trajectories (traj_id, instance_id, msg, role, text), one for each instance, grouped by repository."""
-    first = messages.groupBy("instance_id").agg(F.min("traj_id").alias("traj_id"))
-    first = order.numbered(first, ["instance_id"]).where(F.col("rn") < most)  # the corpus is defined by its first trajectories
-    rows = parse.roles(messages.join(first.select("traj_id", "rn"), "traj_id"))
+    first = messages.groupBy("instance_id").agg(F.min("traj_id").alias("traj_id"))  # ids sort by arrival
+    first = order.numbered(first, ["traj_id", "instance_id"]).where(F.col("rn") < most)  # the corpus is defined by its first trajectories
+    rows = messages.join(first.select("traj_id", "rn"), "traj_id")
+    if "system_prompt" in messages.columns:  # a system prompt comes before the message that carries it
+        rows = parse.with_system_prompts(rows).withColumn("msg", F.struct("msg", "part"))
+    else:
+        rows = parse.roles(rows)
     rows = order.numbered(rows.select("rn", "instance_id", F.col("msg").alias("at"), "role", "text").withColumnRenamed("rn", "traj"), ["traj", "at"])
     out = measure.trajectories(rows.select("traj", repo_key(F.col("instance_id")).alias("grp"), F.col("rn").alias("msg"), "role", "text"), least)
     share = lambda c: percent(F.col(c), F.col("total_tokens"))
@@ -123,11 +139,50 @@ def schemas(prompts: DataFrame, joiner: str = "", owner: str = "pid", least: int
     return first.crossJoin(after).crossJoin(pic)  # one row each
 
 
+def measured(names: dict[str, tuple], spark, skip_failures: bool = True, **options) -> list[dict]:
+    """Runs rows of the study on their files, as {name: paths}; a row that fails says so and the others go on."""
+    out = []
+    for name, paths in names.items():
+        try:
+            got = run_row(spark, name, *paths, **options).first()
+            out.append({"row": name, **(got.asDict() if got else {})})
+        except Exception as e:  # noqa: BLE001  a stage of its own
+            if not skip_failures:
+                raise
+            out.append({"row": name, "failed": f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"})
+    return out
+
+
 #: How each row of the study is put together, on what its reader gives.
 STUDY = {
-    "WildChat": plain, "PAWS": plain, "SWE-smith": coding, "OpenHands": coding, "SWE-agent": coding, "CC-Bench": coding, "NNetNav-WA": web_steps, "NNetNav-Live": web_steps,
+    "WildChat": plain, "PAWS": plain, "SWE-smith": coding, "OpenHands": coding, "SWE-agent": coding, "CC-Bench": lambda x, **k: coding(parse.code_messages(x) if "kind" in x.columns else x, **k), "NNetNav-WA": web_steps, "NNetNav-Live": web_steps,
     "Mind2Web": lambda x, **k: replaced(x, "backend_node_id", **k), "ITBench SRE": enveloped, "ITBench K8s": plain, "ITBench alerts": plain, "BGL": columned_log,
     "AppWorld": lambda x, **k: masked(x, ["json:release_date"], **k), "tau2 airline": lambda x, **k: plain(x, dedup=True, **k), "tau2 retail": lambda x, **k: plain(x, dedup=True, **k), "tau2 telecom": lambda x, **k: plain(x, dedup=True, **k),
     "MT-RAG": lambda x, **k: dialogues(last_collection(x, "ibmcloud"), **k), "MultiDoc2Dial": dialogues, "tau-Knowledge": aligned, "Spider 2.0": lambda x, **k: schemas(x, "\n", **k), "BIRD": schemas,
     "LiveSQLBench": lambda x, **k: schemas(x, "\n", "task", **k), "BIRD-INTERACT": lambda x, **k: schemas(x, "\n", "task", **k),
 }
+
+
+#: Readers of each row's files, as DataFrames for its plan: (spark, *paths) -> tuple.
+SOURCES = {
+    "WildChat": readers.wildchat, "PAWS": readers.paws, "SWE-smith": readers.chat_trajectories, "OpenHands": lambda s, p: readers.chat_trajectories(s, p, "trajectory"),
+    "SWE-agent": readers.agent_trajectories, "CC-Bench": readers.code_events, "NNetNav-WA": readers.web_prompts, "NNetNav-Live": readers.web_prompts, "Mind2Web": readers.web_pages,
+    "ITBench SRE": lambda s, p: readers.tool_outputs(s, p, least_chars=0), "ITBench K8s": readers.file_sessions, "ITBench alerts": readers.alerts, "BGL": readers.log_slices, "AppWorld": readers.app_traces,
+    "tau2 airline": lambda s, p: readers.simulations(s, p, "airline"), "tau2 retail": lambda s, p: readers.simulations(s, p, "retail"), "tau2 telecom": lambda s, p: readers.simulations(s, p, "telecom"),
+    "MT-RAG": readers.retrieval_dialogues, "MultiDoc2Dial": readers.grounded_dialogues, "Spider 2.0": lambda s, q, ddl: readers.schema_questions(s, q, readers.table_schemas(s, ddl)),
+    "BIRD": lambda s, q, schemas: readers.schema_questions(s, q, readers.exported_schemas(s, schemas)),
+}
+
+
+def _knowledge(spark, documents, tasks) -> tuple[DataFrame, DataFrame]:
+    docs = readers.knowledge_documents(spark, documents)
+    return readers.knowledge_tasks(spark, tasks, docs), docs
+
+
+SOURCES |= {"tau-Knowledge": _knowledge, "LiveSQLBench": readers.interactive_prompts, "BIRD-INTERACT": readers.interactive_prompts}
+
+
+def run_row(spark, name: str, *paths, **options) -> DataFrame:
+    """A row of the study from its files: reader, treatment and measure."""
+    found = SOURCES[name](spark, *paths)
+    return STUDY[name](*(found if isinstance(found, tuple) else (found,)), **options)

@@ -21,6 +21,17 @@ def lines(spark: SparkSession, path) -> DataFrame:
     return rows.select("file", F.struct("block", F.monotonically_increasing_id().alias("row")).alias("at"), "value")
 
 
+def _run(file: str, block: str, row: str) -> Column:
+    """A name of a trajectory that sorts by file and line."""
+    return F.concat_ws(":", F.col(file), F.lpad(F.col(block).cast("string"), 20, "0"), F.lpad(F.col(row).cast("string"), 20, "0"))
+
+
+def _parquet_runs(spark: SparkSession, path) -> DataFrame:
+    """Rows of Parquet files with traj_id, which sorts by file and row."""
+    rows = spark.read.parquet(path)
+    return rows.select("*", F.col("_metadata.file_path").alias("file__"), F.col("_metadata.row_index").alias("row__")).withColumn("traj_id", _run("file__", "row__", "row__")).drop("file__", "row__")
+
+
 def whole_files(spark: SparkSession, path, depth: int = 2) -> DataFrame:
     """(folder, file, text) of each file."""
     rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
@@ -69,17 +80,19 @@ TURNS = "array<struct<role:string,content:string>>"
 
 
 def chat_trajectories(spark: SparkSession, path, column: str = "messages") -> DataFrame:
-    """Messages of trajectories held as a JSON string or as an array of turns; other columns of the message stay out."""
-    rows = spark.read.parquet(path)
+    """Messages of trajectories held as a JSON string or as an array of turns; other columns of the message stay out.
+
+    traj_id sorts by arrival; a trajectory without messages gives one row without text, so that it is still its task's first.
+    """
+    rows = _parquet_runs(spark, path)
     turns = F.from_json(column, TURNS) if dict(rows.dtypes)[column] == "string" else F.col(column)
-    rows = rows.select("instance_id", F.xxhash64("instance_id", column).alias("traj_id"), F.posexplode(turns).alias("msg", "m"))
+    rows = rows.select("instance_id", "traj_id", F.posexplode_outer(turns).alias("msg", "m"))
     return rows.select("traj_id", "instance_id", "msg", F.col("m.role").alias("role"), F.col("m.content").alias("text"))
 
 
 def agent_trajectories(spark: SparkSession, path) -> DataFrame:
     """Messages with a system_prompt field, for operators.parse.with_system_prompts."""
-    rows = spark.read.parquet(path)
-    rows = rows.select("instance_id", F.xxhash64("instance_id", F.to_json("trajectory")).alias("traj_id"), F.posexplode("trajectory").alias("msg", "m"))
+    rows = _parquet_runs(spark, path).select("instance_id", "traj_id", F.posexplode_outer("trajectory").alias("msg", "m"))
     return rows.select("traj_id", "instance_id", "msg", F.col("m.role").alias("role"), F.col("m.text").alias("text"), F.col("m.system_prompt").alias("system_prompt"))
 
 
@@ -88,16 +101,20 @@ BLOCK = "array<struct<type:string,text:string,id:string,name:string,input:struct
 
 
 def code_events(spark: SparkSession, path) -> DataFrame:
-    """Blocks of code-agent events: (traj, seq, kind, use_id, path, text, role); a plain content is one text block."""
+    """Blocks of code-agent events: (traj, run, seq, kind, use_id, tool, path, text, role); a plain content is one text block.
+
+    traj is the task, run one trajectory of it; runs sort by arrival, seq inside a run.
+    """
     rows = json_lines(spark, path, f"task_id string, trajectory array<{EVENT}>")
-    rows = rows.select(F.col("task_id").alias("traj"), F.posexplode("trajectory").alias("ev", "e"))
+    rows = rows.select(F.col("task_id").alias("traj"), _run("file", "at.block", "at.row").alias("run"), F.posexplode("trajectory").alias("ev", "e"))
     blocks = F.from_json("e.message.content", BLOCK)
     plain = F.array(F.from_json(F.to_json(F.struct(F.lit("text").alias("type"), F.col("e.message.content").alias("text"))), BLOCK[6:-1]))
     listed = F.col("e.message.content").startswith("[")
-    rows = rows.select("traj", "ev", F.col("e.message.role").alias("role"), F.posexplode(F.when(listed, blocks).otherwise(plain)).alias("i", "b"))
+    rows = rows.select("traj", "run", "ev", F.col("e.message.role").alias("role"), F.posexplode(F.when(listed, blocks).otherwise(plain)).alias("i", "b"))
     inner = F.coalesce(F.array_join(F.transform(F.from_json("b.content", "array<struct<text:string>>"), lambda x: x["text"]), ""), F.col("b.content"))
     text = F.when(F.col("b.type") == "tool_result", inner).otherwise(F.col("b.text"))
-    return rows.select("traj", (F.col("ev") * 10_000 + F.col("i")).alias("seq"), F.col("b.type").alias("kind"), F.coalesce("b.tool_use_id", "b.id").alias("use_id"), F.col("b.input.file_path").alias("path"), F.coalesce(text, F.lit("")).alias("text"), "role")
+    seq = F.shiftleft(F.col("ev").cast("long"), 32) + F.col("i")
+    return rows.select("traj", "run", seq.alias("seq"), F.col("b.type").alias("kind"), F.coalesce("b.tool_use_id", "b.id").alias("use_id"), F.col("b.name").alias("tool"), F.col("b.input.file_path").alias("path"), F.coalesce(text, F.lit("")).alias("text"), "role")
 
 
 def web_prompts(spark: SparkSession, path, tasks: int = 40, most_lines: int = 4000) -> DataFrame:
@@ -107,6 +124,17 @@ def web_prompts(spark: SparkSession, path, tasks: int = 40, most_lines: int = 40
     return out.select("sid", "snap", F.col("id").alias("task"), F.col("prompt").alias("text"))
 
 
+#: Fixed value: what a mining snapshot is of a web agent's prompt.
+OBSERVED = r"(?s)OBSERVATION:\s*\n(.*?)\nURL:"
+
+
+def web_observations(spark: SparkSession, path, tasks: int = 40, most_lines: int = 4000) -> DataFrame:
+    """(sid, snap, task, text): the observations between their headings, for mining; tasks with two at least."""
+    rows = order.numbered(json_lines(spark, path, "id string, prompt string"), ["file", "at"]).where(F.col("rn") < most_lines)
+    rows = rows.where(F.regexp_like("prompt", F.lit(OBSERVED))).select("id", F.col("rn").alias("line"), F.regexp_extract("prompt", OBSERVED, 1).alias("text"))
+    return sessions(rows, ["id"], ["line"], 2, tasks).select("sid", "snap", F.col("id").alias("task"), "text")
+
+
 def web_pages(spark: SparkSession, path, most: int = 25) -> DataFrame:
     """Cleaned pages of each task's actions."""
     rows = json_lines(spark, path, "annotation_id string, actions array<struct<cleaned_html:string>>")
@@ -114,20 +142,28 @@ def web_pages(spark: SparkSession, path, most: int = 25) -> DataFrame:
     return sessions(rows, ["file", "at"], ["file", "at", "i"], 2, most).select("sid", "snap", F.col("annotation_id").alias("task"), "text")
 
 
-def tool_outputs(spark: SparkSession, path, most: int = 40) -> DataFrame:
-    """Function outputs of incident trajectories, one file a session; task is the scenario in the path."""
+def tool_outputs(spark: SparkSession, path, most: int = 40, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """Function outputs of incident trajectories, one file a session; task is the scenario in the path.
+
+    plans.rows.enveloped takes all outputs (least_chars 0), as it judges their bodies.
+    """
     rows = json_lines(spark, path, "payload struct<type:string,output:string>").where("payload.type = 'function_call_output'")
-    rows = rows.select("file", "at", F.col("payload.output").alias("text")).where(F.length("text") >= LEAST_CHARS)
+    rows = rows.select("file", "at", F.col("payload.output").alias("text")).where(F.length("text") >= least_chars)
     scenario = F.regexp_extract("file", "Scenario-[0-9]+", 0)
     return sessions(rows, ["file"], ["file", "at"], 2, most).select("sid", "snap", F.when(scenario == "", F.col("file")).otherwise(scenario).alias("task"), "text")
 
 
-def file_sessions(spark: SparkSession, path, most: int = 200) -> DataFrame:
-    """A folder is a session, its files in order are the snapshots (manifests, alerts)."""
-    rows = whole_files(spark, path).where(F.length("text") >= LEAST_CHARS)
+def file_sessions(spark: SparkSession, path, most: int = 200, name: str = "") -> DataFrame:
+    """A folder is a session, its files in order are the snapshots; name is a pattern of the files' names."""
+    rows = whole_files(spark, path).where(F.length("text") >= LEAST_CHARS).where(F.regexp_like(F.regexp_extract("file", "[^/]*$", 0), F.lit(name)))
     return sessions(rows, ["folder"], ["file"], 2, most).select("sid", "snap", F.col("folder").alias("task"), "text")
 
 
+def alerts(spark: SparkSession, path, most: int = 40) -> DataFrame:
+    """Alert files of each folder in order."""
+    return file_sessions(spark, path, most, r"^alerts_at_.*\.json$")
+
+
 def log_slices(spark: SparkSession, path, slices: int = 20, snapshot: int = 500) -> DataFrame:
     """Lines with content in equal slices, in snapshots of some lines; (sid, snap, i, line)."""
     rows = order.numbered(lines(spark, path).where(F.trim("value") != ""), ["file", "at"])
@@ -136,8 +172,12 @@ def log_slices(spark: SparkSession, path, slices: int = 20, snapshot: int = 500)
     return rows.selectExpr("rn div per AS sid", f"(rn % per) div {snapshot} AS snap", f"(rn % per) % {snapshot} AS i", "value AS line")
 
 
+#: Where an agent's task stands in its prompt, and a simulation's domain in its file's name.
+INSTRUCTION, DOMAIN = r"(?s)# Real Task Instruction\n(.*?)(?:\n\n|$)", "_(airline|retail|telecom)_"
+
+
 def app_traces(spark: SparkSession, path) -> DataFrame:
-    """Tool messages of each trace's longest model call."""
+    """Tool messages of each trace's longest model call; task is the last instruction of a user message in it, else the trace."""
     rows = json_lines(spark, path, "trace_id string, attributes map<string,string>").where("attributes['openinference.span.kind'] = 'LLM'")
     number = lambda k: F.regexp_extract(k, r"^llm\.input_messages\.([0-9]+)\.message\.role$", 1)
     at = F.filter(F.transform(F.map_keys("attributes"), number), lambda x: x != "")
@@ -145,14 +185,19 @@ def app_traces(spark: SparkSession, path) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("trace_id").orderBy(F.desc(F.size("ks")), "file", "at"))
     each = rows.withColumn("nth", first).where("nth = 1").select("trace_id", "file", "at", "attributes", F.explode("ks").alias("k"))
     field = lambda name: F.element_at("attributes", F.concat(F.lit("llm.input_messages."), F.col("k").cast("string"), F.lit(f".message.{name}")))
-    out = each.select("trace_id", "file", "at", "k", field("role").alias("role"), field("content").alias("text")).where("role = 'tool'").where(F.length("text") >= LEAST_CHARS)
-    return sessions(out, ["trace_id"], ["file", "at", "k"]).select("sid", "snap", F.col("trace_id").alias("task"), "text")
+    every = each.select("trace_id", "file", "at", "k", field("role").alias("role"), field("content").alias("text"))
+    asked = every.where("role = 'user'").withColumn("task", F.regexp_extract("text", INSTRUCTION, 1)).where(F.regexp_like("text", F.lit(INSTRUCTION)))
+    asked = asked.groupBy("trace_id").agg(F.max_by("task", "k").alias("task"))
+    out = sessions(every.where("role = 'tool'").where(F.length("text") >= LEAST_CHARS), ["trace_id"], ["file", "at", "k"])
+    return out.join(asked, "trace_id", "left").select("sid", "snap", F.coalesce("task", "trace_id").alias("task"), "text")
 
 
-def simulations(spark: SparkSession, path) -> DataFrame:
-    """Tool messages without errors of each simulation; sessions in the order of their task."""
+def simulations(spark: SparkSession, path, domain: str | None = None) -> DataFrame:
+    """Tool messages without errors of each simulation, of files with the domain in their name; sessions in the order of their task."""
     schema = "simulations array<struct<task_id:string,messages:array<struct<role:string,error:boolean,content:string>>>>"
     rows = spark.read.schema(schema).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode("simulations").alias("run", "s"))
+    if domain is not None:
+        rows = rows.where(F.regexp_extract(F.regexp_extract("file", "[^/]*$", 0), DOMAIN, 1) == domain)
     rows = rows.select("file", "run", F.col("s.task_id").alias("task"), F.posexplode("s.messages").alias("i", "m"))
     rows = rows.where("m.role = 'tool' AND NOT coalesce(m.error, false)").where(F.length("m.content") >= LEAST_CHARS)
     rows = rows.select("file", "run", "task", "i", F.col("m.content").alias("text"))
@@ -162,7 +207,8 @@ def simulations(spark: SparkSession, path) -> DataFrame:
 def retrieval_dialogues(spark: SparkSession, path) -> DataFrame:
     """Passages retrieved for each message: (sid, snap, task, domain, pos, text)."""
     schema = "domain string, messages array<struct<contexts:array<struct<text:string>>>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).select("domain", F.monotonically_increasing_id().alias("sid"), "messages")
+    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"), "domain", "messages")
+    rows = order.numbered(rows, ["file", "row"]).withColumnRenamed("rn", "sid")
     rows = rows.select("sid", "domain", F.posexplode("messages").alias("snap", "m")).select("sid", "domain", "snap", F.posexplode("m.contexts").alias("pos", "c"))
     return rows.select("sid", "snap", F.concat_ws("/", "domain", F.col("sid").cast("string")).alias("task"), "domain", "pos", F.col("c.text").alias("text")).where(F.trim("text") != "")
 
@@ -172,10 +218,11 @@ def grounded_dialogues(spark: SparkSession, documents, dialogues) -> DataFrame:
     docs = spark.read.schema("doc_data map<string,map<string,struct<doc_text:string>>>").json(documents, multiLine=True)
     docs = docs.select(F.explode("doc_data").alias("domain", "d")).select(F.explode("d").alias("doc_id", "x")).select("doc_id", F.col("x.doc_text").alias("text"))
     turn = "struct<role:string,references:array<struct<doc_id:string>>>"
-    rows = spark.read.schema(f"dial_data map<string,array<struct<dial_id:string,turns:array<{turn}>>>>").json(dialogues, multiLine=True)
-    rows = rows.select(F.explode("dial_data").alias("domain", "ds")).select(F.explode("ds").alias("x")).select("x.dial_id", F.posexplode("x.turns").alias("snap", "t")).where("t.role = 'user'")
-    rows = rows.select("dial_id", "snap", F.posexplode(F.array_distinct(F.transform("t.references", lambda r: r["doc_id"]))).alias("pos", "doc_id"))
-    return rows.join(docs, "doc_id").select(F.col("dial_id").alias("task"), "snap", "pos", "doc_id", "text")
+    rows = spark.read.schema(f"dial_data map<string,array<struct<dial_id:string,turns:array<{turn}>>>>").json(dialogues, multiLine=True).select(F.col("_metadata.file_path").alias("file"), "dial_data")
+    rows = rows.select("file", F.posexplode(F.map_entries("dial_data")).alias("d", "e")).select("file", "d", F.posexplode("e.value").alias("nth", "x"))
+    rows = rows.select(F.struct("file", "d", "nth").alias("arrived"), "x.dial_id", F.posexplode("x.turns").alias("snap", "t")).where("t.role = 'user'")
+    rows = rows.select("arrived", "dial_id", "snap", F.posexplode(F.array_distinct(F.transform("t.references", lambda r: r["doc_id"]))).alias("pos", "doc_id"))
+    return rows.join(docs, "doc_id").select("arrived", F.col("dial_id").alias("task"), "snap", "pos", "doc_id", "text")
 
 
 def knowledge_documents(spark: SparkSession, path) -> DataFrame:
@@ -210,9 +257,16 @@ def schema_questions(spark: SparkSession, path, schemas: DataFrame, knowledge: D
     return rows.select(F.col("rn").alias("pid"), "task", "db", F.concat_ws("\n", "question", F.when(F.col("evidence") != "", F.col("evidence")), "more").alias("head"), "units")
 
 
-def catalog_schemas(spark: SparkSession, url: str, properties: dict[str, str] | None = None) -> DataFrame:
-    """CREATE texts of a SQLite catalogue by JDBC, where a driver is on the class path."""
-    return spark.read.jdbc(url, "(SELECT name, sql FROM sqlite_master WHERE sql IS NOT NULL) t", properties=properties or {}).orderBy("name")
+def catalog_schemas(spark: SparkSession, url: str, db: str, properties: dict[str, str] | None = None) -> DataFrame:
+    """(db, units): CREATE texts of a SQLite catalogue by name, by JDBC, where a driver is on the class path."""
+    rows = spark.read.jdbc(url, "(SELECT name, sql FROM sqlite_master WHERE sql IS NOT NULL) t", properties=properties or {})
+    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("name", "sql"))), lambda x: x["sql"]).alias("units")).select(F.lit(db).alias("db"), "units")
+
+
+def exported_schemas(spark: SparkSession, path) -> DataFrame:
+    """(db, units) of catalogues exported as one JSON object: the CREATE texts of each database in order."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("db", "units"))
+    return rows.where(F.size("units") > 0)
 
 
 def context_units(schema: DataFrame, meanings: DataFrame, knowledge: DataFrame) -> DataFrame:
@@ -234,3 +288,13 @@ def interactive_tasks(spark: SparkSession, path, contexts: DataFrame) -> DataFra
     rows = rows.select("file", "at", F.col("instance_id").alias("task"), F.col("selected_database").alias("db"), F.explode(F.filter(turns, lambda x: F.coalesce(x["head"], F.lit("")) != "")).alias("x"))
     rows = order.numbered(rows.select("file", "at", "task", "db", "x.*").join(contexts, "db"), ["file", "at", "turn"])
     return rows.select(F.col("rn").alias("pid"), "task", "db", "turn", "head", "units")
+
+
+def interactive_prompts(spark: SparkSession, tasks, schema, meanings, knowledge) -> DataFrame:
+    """Tasks with their database's context, from <db>_schema.txt, <db>_column_meaning_base.json and <db>_kb.jsonl."""
+    db = lambda ending: F.regexp_extract("file", f"([^/]+){ending}$", 1).alias("db")
+    a = whole_files(spark, schema).select(db("_schema\\.txt"), "text")
+    b = whole_files(spark, meanings).select(db("_column_meaning_base\\.json"), F.from_json("text", "map<string,string>").alias("meaning"))
+    c = lines(spark, knowledge).where(F.trim("value") != "")
+    c = c.select(db("_kb\\.jsonl"), F.col("at.row").alias("nth"), F.col("value").alias("line"))
+    return interactive_tasks(spark, tasks, context_units(a, b, c))
