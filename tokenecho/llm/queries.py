@@ -83,7 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash": OP4_SQL, "op5_anchors": OP5_SQL, "op6_suffix_array": OP6_SQL, "op7_topk": OP7_SQL, "op9_lattice": OP9_SQL}
+    return {"op4_minhash": OP4_SQL, "op5_anchors": OP5_SQL, "op6_suffix_array": OP6_SQL, "op7_topk": OP7_SQL, "op9_lattice": OP9_SQL, "op10_sharding": OP10_SQL}
 
 
 OP4_SQL = """
@@ -155,3 +155,22 @@ WITH v AS (
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
 """
+
+
+def _crc(i: int) -> int:
+    for _ in range(8):
+        i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+    return i
+
+
+OP10_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT doc_id, text, (strlen(text) + 1)::BIGINT AS size, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+u AS (SELECT DISTINCT text, hex(encode(text)) AS h FROM t),
+c AS (
+    SELECT text, xor(list_reduce([('0x' || substr(h, 2 * i + 1, 2))::BIGINT FOR i IN range(length(h) // 2)], lambda a, x: xor(a >> 8, {[_crc(i) for i in range(256)]}[(xor(a, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM u
+), s AS (
+    SELECT *, sum(size) OVER (ORDER BY first, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS upto, sum(size) OVER ()::BIGINT AS total FROM d
+), p AS (SELECT *, least((2 * upto - size) * 8 // (2 * total), 7)::INTEGER AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY upto) - 1 AS slot, NULL::INTEGER AS grown_shard FROM p JOIN c USING (text)
+"""

@@ -49,8 +49,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     inside = Window.partitionBy("part").orderBy(*order)
     sums = dealt.withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(inside))
     sums = sums.join(F.broadcast(offsets), "part")  # one row for each range
-    middle = (F.col("offset") + F.col("upto")) * 2 - F.col("size")
-    sums = sums.withColumn("shard", F.least(F.floor(middle * F.lit(shards) / (F.col("total") * 2)), F.lit(shards - 1)).cast("int"))
+    middle = "((offset + upto) * 2 - size)"  # twice the middle of a row's bytes
+    sums = sums.withColumn("shard", F.expr(f"cast(least({middle} * {shards} div (total * 2), {shards - 1}) AS int)"))
     sums = scratch.save(sums.select("doc_id", "size", "text_crc32", "part", "nth", "shard"), "sharded")
 
     # a shard's rows in a range are consecutive: its first slot there is the count in earlier ranges
