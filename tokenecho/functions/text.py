@@ -14,7 +14,7 @@ ATTR = r'([0-9A-Za-z_][0-9A-Za-z_-]*)="([^"]*)"'
 BRACKET = r"\[([0-9]+)\]"
 JSON_PAIR = r'"([A-Za-z_][0-9A-Za-z_.-]*)"\s*:\s*("[^"]{0,120}"|-?[0-9][0-9.eE+-]*)'
 LOG_KV = r"""\b([a-z_][0-9A-Za-z_.-]{1,30})=([^\s,;"']{1,80})"""
-YAML_KV = r"(?m)^\s*(?:- )?([A-Za-z_][0-9A-Za-z_./-]*):[ \t]+(\S.*?)\s*$"
+YAML_KV = r"(?m)^\s*(?:- )?([A-Za-z_][0-9A-Za-z_./-]*):\s+(\S.*?)\s*$"
 MACHINE = r"^([0-9]+|0[xX][0-9a-fA-F]+|[0-9a-fA-F]{8,}|[0-9a-fA-F][0-9a-fA-F:-]{7,}|[0-9][0-9.,;x\s-]*[0-9]|[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9:.-]+Z?)?)$"
 SANDBOX = r"^(?:/testbed/|/workspace/[^/]+/|/workspace/|/app/projects/|/app/)"
 OBSERVATION = r"OBSERVATION:\s*\n"

@@ -24,7 +24,7 @@ def mask(text: Column, field: str) -> Column:
     if kind == "kv":
         return F.regexp_replace(text, rf"\b{key}=[^\s,;\"']{{1,80}}", f"{name}=<V>")
     if kind == "yaml":
-        return F.regexp_replace(text, rf"(?m)^(\s*(?:- )?){key}:[ \t]+\S.*$", f"$1{name}: <V>")
+        return F.regexp_replace(text, rf"(?m)^(\s*(?:- )?){key}:\s+\S.*$", f"$1{name}: <V>")
     if kind == "pos":
         return mask_position(text, int(name))
     raise ValueError(f"unknown field {field!r}")

@@ -141,12 +141,13 @@ def line_dedup(spark, d):
 
 
 #: Prompts: a document's lines are the schema, a benchmark passage the question.
-PROMPTS = "SELECT doc_id AS pid, source AS task, documents.text AS schema, item.text AS head FROM documents JOIN benchmark item ON item_id = doc_id % 40"
+PROMPTS = "SELECT doc_id AS pid, source AS task, documents.text AS schema, item.text AS head FROM documents JOIN benchmark item ON item_id = doc_id % (SELECT max(item_id) + 1 FROM benchmark)"
 
 
 def _prompts(spark, d):
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("head"))
-    rows = docs(spark, d).withColumn("item", F.col("doc_id") % 40)
+    many = items.agg((F.max("item") + 1).alias("many"))  # one row
+    rows = docs(spark, d).crossJoin(F.broadcast(many)).withColumn("item", F.col("doc_id") % F.col("many")).drop("many")
     return rows.join(items, "item").select(F.col("doc_id").alias("pid"), F.col("source").alias("task"), "head", "text")
 
 

@@ -45,7 +45,7 @@ def mask_kv(spark, d):
     return events(spark, d).select("event_id", treat.mask(F.col("text"), "kv:user_id").alias("text"))
 
 
-@query("mask_yaml", f"SELECT event_id, regexp_replace({EVENT}, '(?m)^(\\s*(?:- )?)score:[ \\t]+\\S.*$', '\\1score: <V>', 'g') AS text FROM events")
+@query("mask_yaml", f"SELECT event_id, regexp_replace({EVENT}, '(?m)^(\\s*(?:- )?)score:\\s+\\S.*$', '\\1score: <V>', 'g') AS text FROM events")
 def mask_yaml(spark, d):
     return events(spark, d).select("event_id", treat.mask(F.col("text"), "yaml:score").alias("text"))
 
@@ -132,12 +132,12 @@ def _found(text: str, pattern: str, prefix: str, value: str = "v") -> str:
 @query(
     "field_values",
     f"""WITH src AS (SELECT page_id AS id, html AS t FROM pages), f AS ({_found('t', T.ATTR, 'attr:')} UNION ALL SELECT id, field, regexp_replace(v, '^"|"$', '', 'g') FROM ({_found('t', T.JSON_PAIR, 'json:')})
-UNION ALL {_found('t', T.LOG_KV, 'kv:')} UNION ALL SELECT id, 'bracket_id', unnest(regexp_extract_all(t, '\\[([0-9]+)\\]', 1)) FROM src)
+UNION ALL {_found('t', T.LOG_KV, 'kv:')} UNION ALL SELECT id, field, regexp_replace(v, '^"+|"+$', '', 'g') FROM ({_found('t', T.YAML_KV, 'yaml:')}) UNION ALL SELECT id, 'bracket_id', unnest(regexp_extract_all(t, '\\[([0-9]+)\\]', 1)) FROM src)
 SELECT id AS page_id, field, count(DISTINCT v) AS n, md5(string_agg(DISTINCT v, '|' ORDER BY v)) AS key FROM f GROUP BY ALL""",
 )
 def field_values(spark, d):
     rows = pages(spark, d).select(F.col("page_id").alias("sid"), F.lit(0).alias("snap"), "text")
-    out = mining.field_values(rows).where("field NOT LIKE 'yaml:%'")
+    out = mining.field_values(rows)
     return out.select(F.col("sid").alias("page_id"), "field", F.size("vals").alias("n"), F.md5(F.array_join("vals", "|").cast("binary")).alias("key"))
 
 
