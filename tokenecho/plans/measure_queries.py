@@ -192,7 +192,30 @@ def schema_pic_by_task(spark, d):
     return measure.schema_reuse(_units(spark, d), MIN, "\n", "task")
 
 
-@query("headonce_measure")
+#: Heads count once; lines of an observation that the prefix cache serves are skipped first fit, one by one.
+HEADONCE = f"""WITH RECURSIVE p AS (SELECT pid, pid % 3 = 0 AS first, head || chr(10) || 'OBSERVATION:' || chr(10) AS head, coalesce(schema, '') AS obs FROM ({PROMPTS})),
+t AS (SELECT pid, regexp_extract_all(head || obs, '{T.TOKEN}') AS t FROM p),
+b AS (SELECT pid, q, md5(array_to_string(t[1 : q * 16 + 16], chr(31))) AS upto FROM (SELECT pid, t, unnest(range(len(t) // 16)) AS q FROM t)),
+o AS (SELECT pid, min(pid) OVER (PARTITION BY upto, q) < pid AS hit FROM b),
+cuts AS (SELECT pid, {total('hit', '16')} AS served FROM o GROUP BY pid),
+r AS MATERIALIZED (SELECT p.*, {nt('head')} AS head_n, {nt('head || obs')} - {nt('head')} AS obs_n, coalesce(served, 0) AS served, greatest(0, coalesce(served, 0) - {nt('head')}) AS skip FROM p LEFT JOIN cuts USING (pid)),
+l AS MATERIALIZED (
+    SELECT pid, skip, line, {nt('line')} AS n, row_number() OVER (PARTITION BY pid ORDER BY i) - 1 AS i
+    FROM (SELECT pid, skip, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT pid, skip, string_split(obs, chr(10)) AS x FROM r)) WHERE trim(line) <> ''
+), fit AS (
+    SELECT pid, i, line, n, CASE WHEN n <= skip THEN n ELSE 0 END AS acc, skip > 0 AND n <= skip AS fits FROM l WHERE i = 0
+    UNION ALL
+    SELECT l.pid, l.i, l.line, l.n, CASE WHEN f.acc + l.n <= skip THEN f.acc + l.n ELSE f.acc END, skip > 0 AND f.acc + l.n <= skip FROM fit f JOIN l ON l.pid = f.pid AND l.i = f.i + 1
+), src AS MATERIALIZED (SELECT pid AS k, row_number() OVER (PARTITION BY pid ORDER BY i) - 1 AS pos, n, line FROM fit WHERE NOT fits),
+{walked('src', MIN)}, {spans()},
+texts AS (SELECT spans.k // 3 AS sid, spans.k % 3 AS snap, s, spans.n, string_agg(line, '' ORDER BY pos) AS t FROM spans JOIN src ON src.k = spans.k AND pos >= s AND pos < e GROUP BY ALL),
+{owners('texts', 'sid, snap, s')},
+part AS (SELECT {total('again AND sid = first_sid')} AS in_session, {total('again AND sid <> first_sid')} AS cross_session FROM owned),
+whole AS (SELECT sum(obs_n + CASE WHEN first THEN head_n ELSE 0 END)::BIGINT AS stream_tokens, {total('first', 'head_n')} AS head_tokens, sum(CASE WHEN first THEN served ELSE skip END)::BIGINT AS prefix_tokens FROM r)
+SELECT * FROM whole, part"""
+
+
+@query("headonce_measure", HEADONCE)
 def headonce_measure(spark, d):
     """Three documents are a session's steps; a benchmark passage is the head of each."""
     rows = _prompts(spark, d).selectExpr("pid div 3 AS sid", "cast(pid % 3 AS int) AS step", "concat(head, '\\nOBSERVATION:\\n') AS head", "text AS obs")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import mining, parse, treat
-from .base import LINES, ORACLES, docs, nt, query, spans, table, walked
+from .base import LINES, ORACLES, docs, nt, pct, query, spans, table, walked
 
 PAGE = "SELECT page_id, {x} AS text FROM pages"
 
@@ -173,7 +173,27 @@ def field_churn(spark, d):
     return mining.churn(mining.field_values(event_sessions(spark, d)))
 
 
-@query("mined_spec")
+def _mined() -> str:
+    """The greedy loop as a recursion over candidates: its rows are the snapshots, masked by the fields chosen so far."""
+    kv = """regexp_replace(text, '\\b' || name || '=[^\\s,;"'']{1,80}', name || '=<V>', 'g')"""
+    js = """regexp_replace(text, '"' || name || '"\\s*:\\s*(?:"[^"]{0,120}"|-?[0-9][0-9.eE+-]*)', '"' || name || '":"<V>"', 'g')"""
+    share = pct("(sum(length({0})) OVER () - sum(CASE WHEN rn = 1 THEN length({0}) END) OVER ())", "(sum(length({0})) OVER ())")
+    nth = "row_number() OVER (PARTITION BY {0} ORDER BY event_id) AS rn"
+    return f"""WITH RECURSIVE cand AS (
+    SELECT row_number() OVER (ORDER BY mean_jaccard, field) AS k, field, split_part(field, ':', 1) AS kind, split_part(field, ':', 2) AS name
+    FROM ({CHURN}) WHERE mean_jaccard < 0.9 AND machine_frac >= 0.9 AND distinct_ratio >= 0.05
+), t AS (SELECT event_id, 'user_id=' || user_id || ' id=' || event_id || ' ' || props AS text FROM events),
+walk AS (
+    SELECT 0::BIGINT AS k, event_id, text, {share.format('text')} AS base, []::VARCHAR[] AS chosen FROM (SELECT *, {nth.format('text')} FROM t)
+    UNION ALL
+    SELECT k + 1, event_id, CASE WHEN more >= 0.5 THEN new ELSE text END, CASE WHEN more >= 0.5 THEN base + more ELSE base END, CASE WHEN more >= 0.5 THEN list_append(chosen, field) ELSE chosen END
+    FROM (SELECT *, {share.format('new')} - base AS more FROM (SELECT *, {nth.format('new')} FROM (
+        SELECT w.*, cand.field, CASE kind WHEN 'kv' THEN {kv} ELSE {js} END AS new FROM walk w JOIN cand ON cand.k = w.k + 1)))
+)
+SELECT row_number() OVER (ORDER BY field) - 1 AS nth, field FROM (SELECT unnest(any_value(chosen)) AS field FROM walk WHERE k = (SELECT max(k) FROM cand))"""
+
+
+@query("mined_spec", _mined())
 def mined_spec(spark, d):
     fields = mining.mine(event_sessions(spark, d))
     return spark.createDataFrame([(i, f) for i, f in enumerate(fields)], "nth long, field string")
