@@ -121,6 +121,10 @@ def test_long_values_stay_unmasked(spark):
 def test_short_buckets_extend_the_one_before(spark):
     rows = spark.createDataFrame([("g", i, " ".join("x" * n)) for i, n in enumerate((6, 6, 1))], "grp string, doc_id long, text string")
     assert [r["bucket"] for r in treat.buckets(rows, 10).orderBy("doc_id").collect()] == [0, 0, 0]
+    rows = spark.createDataFrame([("a", "4", "x"), ("a", "1", "x" + " y" * 9), ("a", "2", "x"), ("a", "3", " x" * 10), ("b", "1", "x"), (None, "1", None), (None, "2", " x" * 12)], "source string, doc_id string, text string")
+    found = {(r["source"], r["doc_id"]): r["bucket"] for r in treat.buckets(rows, 10, "source").collect()}
+    assert found == {("a", "1"): 0, ("a", "2"): 1, ("a", "3"): 1, ("a", "4"): 1, ("b", "1"): 0, (None, "1"): 0, (None, "2"): 0}
+    assert treat.buckets(rows.limit(0), 10, "source").count() == 0
 
 
 def test_mining_finds_the_volatile_field(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BLOCK, lines_of, n_tokens, percent, tokens
 from . import ledger, segment
+from .order import kept
 
 REGISTERED = 2000
 
@@ -91,6 +92,7 @@ def trajectories(messages: DataFrame, least: int = 500, system_as_prefix: bool =
     spans = scored.select("traj", "grp", "msg", "lines", F.explode(segment.pack(F.col("n"), least, least, True)).alias("x"))
     text = F.array_join(F.slice("lines", F.col("x.s") + 1, F.col("x.e") - F.col("x.s")), "\n")
     spans = spans.select("traj", "grp", "msg", F.col("x.n").alias("n"), F.when(F.col("x.n") >= least, F.sha2(text.cast("binary"), 256)).alias("key"))
+    spans = kept(spans)
     owned = ledger.first_owners(spans.where("key IS NOT NULL"), "key", ["msg", "traj", "grp"])
     again = F.col("first.msg") < F.col("msg")
     same, group = F.col("first.traj") == F.col("traj"), F.col("first.grp") == F.col("grp")
@@ -139,7 +141,7 @@ def block_reuse(snaps: DataFrame, size: int = BLOCK) -> DataFrame:
     """Reuse of blocks of tokens wherever they stand, over (sid, snap, text): one row."""
     # the key is exchanged, the tokens are not
     rows = blocks(snaps, ["sid", "snap"], size=size).withColumn("block", F.unhex(F.md5(F.col("block").cast("binary"))))
-    owned = ledger.first_owners(rows, "block", ["sid", "snap", "q"])
+    owned = ledger.first_owners(kept(rows), "block", ["sid", "snap", "q"])
     again = (F.struct("sid", "snap", "q") != F.col("first")).cast("int")
     each = owned.groupBy("sid", "snap").agg(F.count("*").alias("t"), F.sum(again).alias("r"))
     return each.agg(

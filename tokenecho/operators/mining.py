@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import measure, treat
+from .order import kept
 
 _PAIR = "array<struct<field:string,value:string>>"
 
@@ -44,6 +45,7 @@ def churn(values: DataFrame, support: int = 200, sample: int = 2000) -> DataFram
 
     Samples take a snapshot's first 50 values in order, snapshots in arrival order.
     """
+    values = kept(values)
     after = values.select("sid", (F.col("snap") - 1).alias("snap"), "field", F.col("vals").alias("next"))
     pair = values.join(after, ["sid", "snap", "field"])
     j = F.size(F.array_intersect("vals", "next")) / F.greatest(F.lit(1), F.size(F.array_union("vals", "next")))

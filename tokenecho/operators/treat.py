@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import n_tokens
 
@@ -98,12 +100,35 @@ def replace_attribute(snaps: DataFrame, of: list[str], attribute: str, text: str
     return out.select(*of, F.array_join(F.zip_with("pieces", "new", lambda p, t: F.concat(p, F.coalesce(t, F.lit("")))), "").alias(text))
 
 
+def _fold(batches, least: int):
+    """(group, doc_id, bucket) of rows (group, doc_id, n) in order: memory holds one batch and the open bucket."""
+    opened, group, ids, acc, bucket = False, None, [], 0, 0
+    for batch in batches:
+        kinds = [batch.schema.field(c).type for c in range(2)]
+
+        def closed(g, ids, bucket):
+            return pa.RecordBatch.from_arrays([pa.array([g] * len(ids), kinds[0]), pa.array(ids, kinds[1]), pa.array([bucket] * len(ids), pa.int32())], [*batch.schema.names[:2], "bucket"])
+
+        for g, i, n in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            if not opened or g != group:
+                if ids:
+                    yield closed(group, ids, max(bucket - 1, 0))
+                opened, group, ids, acc, bucket = True, g, [], 0, 0
+            ids.append(i)
+            acc += n
+            if acc >= least:
+                yield closed(g, ids, bucket)
+                ids, acc, bucket = [], 0, bucket + 1
+    if ids:
+        yield closed(group, ids, max(bucket - 1, 0))
+
+
 def buckets(docs: DataFrame, least: int = 500, group: str = "grp") -> DataFrame:
-    """(group, doc_id, bucket): a group's documents by id, packed to `least` tokens; a short tail joins the last bucket."""
-    rows = docs.select(group, "doc_id", n_tokens(F.col("text")).alias("n"))
-    lists = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("doc_id", "n"))).alias("d"))
-    from .segment import pack
-
-    spans = pack(F.transform("d", lambda x: x["n"]), least, None, True)
-    out = lists.select(group, "d", F.posexplode(spans).alias("bucket", "x"))
-    return out.select(group, "bucket", F.explode(F.slice("d", F.col("x.s") + 1, F.col("x.e") - F.col("x.s"))).alias("y")).select(group, "y.doc_id", "bucket")
+    """(group, doc_id, bucket): a group's documents by id, packed to `least` tokens; a short tail joins the last bucket.
+
+    Ids and counts of a group pass through one task in order, as a bucket's start depends on
+    all documents before; they are sorted on disk and never held as a whole. A null text counts nothing.
+    """
+    rows = docs.select(group, "doc_id", F.coalesce(n_tokens(F.col("text")), F.lit(0)).alias("n"))
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("bucket", T.IntegerType())])
+    return rows.repartition(group).sortWithinPartitions(group, "doc_id", "n").mapInArrow(lambda batches: _fold(batches, least), schema)
