@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tokenecho.llm import anchors, bpe, common, crf, lattice, mixing, minhash, pii, sharding, suffix, topk
+from tokenecho.llm import anchors, bpe, common, cover, crf, lattice, mixing, minhash, pii, sharding, suffix, topk
 from tokenecho.llm.queries import OP7_SQL, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -316,7 +316,19 @@ def test_anchors_remove_repeated_windows(docs, empty):
         assert (row["n_words"], row["n_removed"], row["kept"]) == (len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))
 
 
-def test_suffix_arrays(docs, empty):
+def test_suffix_ranks_over_tables(spark):
+    r = np.random.default_rng(1)
+    strings = [r.integers(1, 4, n).tolist() for n in [*range(1, 14), 40, 41, 42]] + [[2] * 30, [2] * 29]
+    rows = spark.createDataFrame([(i, 1, s) for i, s in enumerate(strings)], "k long, r long, s array<long>")
+    every = sorted(s[j:] for s in strings for j in range(len(s)))
+    for row in cover.ranks(common.Scratch(spark, "test"), rows).collect():
+        s = strings[row["k"]]
+        assert row["x"] == [every.index(s[j:]) for j in range(len(s))]
+
+
+@pytest.mark.parametrize("hot", [suffix.HOT, 150])
+def test_suffix_arrays(docs, empty, hot, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", hot)  # minimizers with over 150 bytes of pieces go over tables
     r = np.random.default_rng(0)
     for n in [*range(30), 200]:
         s = r.integers(1, 4, n)

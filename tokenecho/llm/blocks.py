@@ -66,7 +66,7 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
 
 
 SENT = "p int, b int, keys binary, many binary"
-SHARED = "p int, b int, keys binary"
+SHARED = "p int, b int, keys binary, hot binary"
 _LOW = U64(0xFFFFFFFF)
 
 
@@ -83,37 +83,45 @@ def sliced(b: int, p: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=["p", "b", *columns])
 
 
-def send_keys(b: int, keys: np.ndarray, doc: np.ndarray, slices: int) -> pa.Table:
-    """A block's distinct keys, with a flag for those in several of its documents. doc rises."""
+def send_keys(b: int, keys: np.ndarray, doc: np.ndarray, slices: int, weight: np.ndarray | None = None) -> pa.Table:
+    """A block's distinct keys, each with a byte: whether several of its documents have it, and above that bit the logarithm of its weight. doc rises."""
     keys = short(keys, slices)
     order = np.argsort(keys, kind="stable")
     k, d = keys[order], doc[order]
     at = runs(k)
     last = np.concatenate((at[1:], [k.size])) - 1 if k.size else at
-    return sliced(b, (k[at] >> U64(32)).astype(np.int64), {"keys": (k[at] & _LOW).astype(np.uint32), "many": d[at] != d[last]})
+    many = (d[at] != d[last]).astype(np.uint8)
+    if weight is not None and k.size:
+        many |= np.ceil(np.log2(np.add.reduceat(weight[order], at))).astype(np.uint8) << 1
+    return sliced(b, (k[at] >> U64(32)).astype(np.int64), {"keys": (k[at] & _LOW).astype(np.uint32), "many": many})
 
 
-def shared_keys(sent: DataFrame) -> DataFrame:
-    """(p, b, keys): for each block those of its keys that another document also has."""
+def shared_keys(sent: DataFrame, most: int | None = None) -> DataFrame:
+    """(p, b, keys, hot): for each block those of its keys that another document also has.
+
+    hot has a byte for each key, 1 if the key weighs more than `most` over all blocks; it is null if none of the row's keys does.
+    """
 
     def meet(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in table["keys"]]
-        many = np.concatenate([np.frombuffer(x.as_buffer(), np.bool_) for x in table["many"]])
+        many = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table["many"]])
         keys = np.concatenate(parts)
         order = np.argsort(keys, kind="stable")
         k = keys[order]
         at = runs(k)
         count = np.diff(np.concatenate((at, [k.size])))
-        shared = (count > 1) | np.maximum.reduceat(many[order].astype(np.uint8), at).astype(bool)
-        mask = np.empty(keys.size, bool)
+        shared = (count > 1) | np.maximum.reduceat(many[order] & 1, at).astype(bool)
+        mask, hot = np.empty(keys.size, bool), np.zeros(keys.size, np.uint8)
         mask[order] = np.repeat(shared, count)
+        if most is not None:
+            hot[order] = np.repeat(np.add.reduceat(2.0 ** (many[order] >> 1), at) > most, count)
         out, lo = [], 0
         for p, b, x in zip(table["p"].to_pylist(), table["b"].to_pylist(), parts):
-            own = x[mask[lo : lo + x.size]]
+            at = lo + np.flatnonzero(mask[lo : lo + x.size])
             lo += x.size
-            if own.size:
-                out.append((p, b, own.tobytes()))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.int32(), pa.int32(), pa.binary()))], names=["p", "b", "keys"])
+            if at.size:
+                out.append((p, b, keys[at].tobytes(), hot[at].tobytes() if hot[at].any() else None))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["p", "b", "keys", "hot"])
 
     return sent.groupBy("p").applyInArrow(meet, SHARED)
 
@@ -122,9 +130,13 @@ def answered(table: pa.Table, name: str = "keys", kind=np.uint64) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[name]]) if table.num_rows else np.empty(0, kind)
 
 
-def answered_short(table: pa.Table) -> np.ndarray:
-    """What shared_keys gave a block, sorted."""
+def answered_short(table: pa.Table, hot: bool = False) -> np.ndarray:
+    """What shared_keys gave a block, or the hot ones of these, sorted."""
+    if hot:
+        table = table.filter(table["hot"].is_valid())
     parts = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) | U64(p << 32) for p, x in zip(table["p"].to_pylist(), table["keys"])]
+    if hot:
+        parts = [x[np.frombuffer(f.as_buffer(), np.bool_)] for x, f in zip(parts, table["hot"])]
     return np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 

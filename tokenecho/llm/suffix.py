@@ -10,6 +10,8 @@ recurse on their names where these are not unique, sort the other suffixes by th
 first byte and the rank behind it, merge) and compares the prefixes of adjacent
 suffixes. Suffixes that agree for 50 bytes form a group, whose first document goes back
 to the blocks. Only where all pieces of a minimizer are one text is there nothing to sort.
+Minimizers whose pieces are too many for one task are taken out, and the same algorithm
+runs for them over tables (see cover), where no task holds a minimizer's pieces.
 """
 
 from __future__ import annotations
@@ -21,10 +23,13 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .common import BYTE, U64, Scratch, mix, powers
+from .cover import first_owners as owners_by_tables
 
 GRAM = 24
 #: Bytes of pieces in one suffix array, as long as one minimizer's pieces have no more.
 PART = 400_000
+#: Bytes of pieces of one minimizer that meet in one task, at most.
+HOT = 8_000_000
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -165,6 +170,27 @@ class Pieces:
         self.one, self.end = order[at], order[np.append(at[1:], v.size) - 1] if v.size else at
 
 
+def _heavy_owners(scratch: Scratch, pieces: DataFrame, length: int) -> DataFrame:
+    """(b, piece, count, offset, low) for pieces (b, piece, text, doc, last) with a smaller owner than their last document."""
+    texts = scratch.save(pieces.groupBy("text").agg(F.min("doc").alias("owner")).withColumn("k", F.monotonically_increasing_id()), "texts")
+    low = texts.select("k", "text").join(owners_by_tables(scratch, texts, length), "k").select("text", "low")
+    low = pieces.join(low, "text").where(F.array_min("low") < F.col("last")).select("b", "piece", "low")
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("piece")
+        size = np.diff(t["low"].combine_chunks().offsets.to_numpy())
+        low = t["low"].combine_chunks().flatten().to_numpy()
+        first = np.cumsum(size) - size
+        new = np.concatenate(([True], low[1:] != low[:-1]))
+        new[first] = True
+        at = np.flatnonzero(new)
+        of = np.searchsorted(first, at, "right") - 1
+        row = [t["piece"].to_numpy(), np.bincount(of), at - first[of], low[at]]
+        return pa.table([t["b"][:1].cast(pa.int32()), *[pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in row]], names=["b", "piece", "count", "offset", "low"])
+
+    return scratch.save(low.groupBy("b").applyInArrow(pack, "b int, piece binary, count binary, offset binary, low binary"), "heavy-owners")
+
+
 _SENT = "p int, b int, first long, value binary, size binary, text binary, doc binary, more binary"
 
 
@@ -182,23 +208,34 @@ def remove_repeated_strings(docs: DataFrame, length: int = 50, id_col: str = "do
 
     def minimizers(t: pa.Table) -> pa.Table:
         p = Pieces(B.Block(t, b""), length)
-        return B.send_keys(p.block.b, p.value, p.block.ids[p.doc], slices)
+        return B.send_keys(p.block.b, p.value, p.block.ids[p.doc], slices, p.last + length - p.start)
 
-    shared = scratch.save(B.shared_keys(table.groupBy("b").applyInArrow(minimizers, B.SENT)), "shared")
+    shared = scratch.save(B.shared_keys(table.groupBy("b").applyInArrow(minimizers, B.SENT), HOT), "shared")
 
     def send(t: pa.Table, answer: pa.Table) -> pa.Table:
         p = Pieces(B.Block(t, b""), length)
         p.pick(B.answered_short(answer), slices)
-        value, start, size = p.value[p.one], p.start[p.one], p.last[p.one] + length - p.start[p.one]
-        doc, more = p.block.ids[p.doc[p.one]], p.block.ids[p.doc[p.end]]  # ids rise within the block
+        number = np.flatnonzero(~B.member(B.short(p.value[p.one], slices), B.answered_short(answer, hot=True)))
+        one, end = p.one[number], p.end[number]
+        value, start, size = p.value[one], p.start[one], p.last[one] + length - p.start[one]
+        doc, more = p.block.ids[p.doc[one]], p.block.ids[p.doc[end]]  # ids rise within the block
         slot = B.slice_of(value, slices)
-        cut, rows = np.concatenate((B.runs(slot), [slot.size])), []
+        cut, rows = np.append(B.runs(slot * (p.one.size + 1) + number - np.arange(number.size)), number.size), []  # numbers in a row
         for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
             text = gather(p.block.buf, start[a:z], size[a:z])
-            rows.append((int(slot[a]), p.block.b, a, value[a:z].tobytes(), size[a:z].astype(np.uint32).tobytes(), text.tobytes(), doc[a:z].tobytes(), (more[a:z] - doc[a:z]).tobytes()))
+            rows.append((int(slot[a]), p.block.b, int(number[a]), value[a:z].tobytes(), size[a:z].astype(np.uint32).tobytes(), text.tobytes(), doc[a:z].tobytes(), (more[a:z] - doc[a:z]).tobytes()))
         kinds = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 5
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=["p", "b", "first", "value", "size", "text", "doc", "more"])
 
+    def send_heavy(t: pa.Table, answer: pa.Table) -> pa.Table:
+        p = Pieces(B.Block(t, b""), length)
+        p.pick(B.answered_short(answer), slices)
+        number = np.flatnonzero(B.member(B.short(p.value[p.one], slices), B.answered_short(answer, hot=True)))
+        one, end = p.one[number], p.end[number]
+        text = [p.block.data[a:z] for a, z in zip(p.start[one].tolist(), (p.last[one] + length).tolist())]
+        ids = p.block.ids[p.doc[one]], p.block.ids[p.doc[end]]
+        return pa.table([pa.array(np.full(one.size, p.block.b), pa.int32()), pa.array(number), pa.array(text, pa.binary()), pa.array(ids[0]), pa.array(ids[1])], names=["b", "piece", "text", "doc", "last"])
+
     def arrays(t: pa.Table) -> pa.Table:
         value, size = B.answered(t, "value"), B.answered(t, "size", np.uint32).astype(np.int64)
         doc = B.answered(t, "doc", np.int64)
@@ -252,7 +289,11 @@ def remove_repeated_strings(docs: DataFrame, length: int = 50, id_col: str = "do
     found = ["piece", "count", "offset", "low"]
     sent = table.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(send, _SENT)
     owners = scratch.save(sent.groupBy("p").applyInArrow(arrays, "b int, " + ", ".join(f"{x} binary" for x in found)), "owners")
-    both = shared.join(owners.select("b").distinct(), "b", "left_semi")
+    heavy = shared.where("hot IS NOT NULL").select("b").distinct()
+    if not heavy.isEmpty():
+        pieces = table.join(heavy, "b", "left_semi").groupBy("b").cogroup(shared.join(heavy, "b", "left_semi").groupBy("b")).applyInArrow(send_heavy, "b int, piece long, text binary, doc long, last long")
+        owners = owners.unionByName(_heavy_owners(scratch, scratch.save(pieces, "heavy"), length))
+    both = shared.drop("hot").join(owners.select("b").distinct(), "b", "left_semi")
     none = {x: F.lit(None).cast("binary") for x in found}
     answers = owners.withColumns({"p": F.lit(None).cast("int"), "keys": F.lit(None).cast("binary")}).unionByName(both.withColumns(none))
 
