@@ -326,6 +326,25 @@ def test_suffix_ranks_over_tables(spark):
         assert row["x"] == [every.index(s[j:]) for j in range(len(s))]
 
 
+def test_suffix_tables_are_not_broadcast(spark):
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    before = store.executionsList().size()
+    r = np.random.default_rng(2)
+    rows = [(i, bytes(r.integers(97, 100, 60).astype(np.uint8)), i, 0, i) for i in range(200)]
+    pieces = spark.createDataFrame(rows, "piece long, text binary, doc long, b int, last long")
+    assert suffix._heavy_owners(common.Scratch(spark, "test"), pieces, 5).count() == 1
+    bus.waitUntilEmpty(30_000)
+    sent, done = [], store.executionsList()
+    for run in (done.apply(i).executionId() for i in range(before, done.size())):
+        made, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (x for x in (nodes.apply(i) for i in range(nodes.size())) if x.name() == "BroadcastExchange"):
+            metrics = {m.name(): m.accumulatorId() for m in (node.metrics().apply(i) for i in range(node.metrics().size()))}
+            value = made.get(metrics["number of output rows"])
+            sent.append(int(value.get().replace(",", "")) if value.isDefined() else 0)
+    assert sent and max(sent) <= 20  # a row for each range
+
+
 @pytest.mark.parametrize("hot", [suffix.HOT, 150])
 def test_suffix_arrays(docs, empty, hot, monkeypatch):
     monkeypatch.setattr(suffix, "HOT", hot)  # minimizers with over 150 bytes of pieces go over tables
