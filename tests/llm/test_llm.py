@@ -2,9 +2,12 @@
 
 import hashlib
 import re
+import time
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -406,6 +409,26 @@ def test_topk_reads_lists_in_order(monkeypatch):
         assert ids.size < 250 and sorted(zip((-score).tolist(), ids.tolist()))[:10] == brute
 
 
+def test_topk_reads_lists_once_for_many_queries(monkeypatch):
+    r = np.random.default_rng(22)
+    x = np.floor(r.standard_normal((3000, 32)) * 1024)
+    x[1500:1600], x[7], x[:, 5] = x[3], 0, np.abs(x[:, 5])
+    stretches = [topk._sorted_lists(pa.table({"vec_id": np.arange(i, 3000, 2), "vec": [v.tobytes() for v in x[i::2]]})) for i in (0, 1)]
+
+    def search(n):
+        began = time.perf_counter()
+        out = pa.Table.from_batches(topk._search(10, SimpleNamespace(value={32: (np.arange(n), x[:n])}))(b for t in stretches for b in t.to_batches()))
+        return list(zip(*[out[c].to_pylist() for c in ("query_id", "score", "vec_id")])), time.perf_counter() - began
+
+    score = (x[:300] @ x.T).astype(int)
+    brute = [(i, score[i, j], j) for i in range(300) for j in sorted(set(range(3000)) - {i}, key=lambda j: (-score[i, j], j))[:10]]
+    found, many = search(300)
+    assert found == brute
+    assert many < 100 * min(search(1)[1] for _ in range(5))
+    monkeypatch.setattr(topk, "AT_ONCE", 10_000)
+    assert search(300)[0] == brute
+
+
 def test_topk_of_queries_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 200)
     r = np.random.default_rng(21)

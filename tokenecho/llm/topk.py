@@ -5,11 +5,12 @@ dimension, sorted by component. For a query the lists are read in their order, f
 end where a component adds most, all to the same depth. What has been read of a candidate,
 with the least and the most that its unread lists can add, bounds its score from both
 sides. Candidates whose upper bound is below the k-th best lower bound, here or in an
-earlier stretch, are out; reading stops when the rest are few, and only their unread
-components are looked up, which resolves their scores.
+earlier stretch, are out; reading stops when the rest are few, and only their components
+are looked up, which resolves their scores.
 
 Queries come to the stored lists in blocks of bounded size, by broadcast; no list is
-exchanged.
+exchanged. At a depth, a list is read once for many queries, whose bounds are products of
+matrices.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import Scratch
 STRETCH, BLOCK = 4096, 16_000_000
 #: Bounds are drawn at these depths of the lists; with this many times k candidates left the rest is resolved.
 DEPTHS, FEW = (1 / 16, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8), 4
+#: Bounds (of a query and a candidate) that are held at once.
+AT_ONCE = 1 << 21
 
 
 class Lists:
@@ -38,33 +41,49 @@ class Lists:
 
     def best(self, q: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Scores and ids of all that can be among the k best with a score of at least floor."""
-        d, m = self.values.shape
-        alive = np.flatnonzero(self.ids != own)
-        least = np.minimum(self.values[:, 0] * q, self.values[:, -1] * q)
-        up, down = np.flatnonzero(q >= 0), np.flatnonzero(q < 0)
-        have, seen = np.zeros((m, d)), np.zeros((m, d), bool)
-        lo = 0
+        return next(self.bests(q[None], np.array([own]), k, np.array([floor], float)))
+
+    def bests(self, q: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for each row of q, in stretches of queries that bound the memory."""
+        step = max(1, AT_ONCE // self.ids.size)
+        for lo in range(0, len(q), step):
+            part, alive = q[lo : lo + step], self._alive(q[lo : lo + step], own[lo : lo + step], k, floor[lo : lo + step])
+            for x, left in zip(part, alive):
+                at = np.flatnonzero(left)
+                yield self.rows[at] @ x, self.ids[at]
+
+    def _read(self, part: slice, rest: np.ndarray) -> np.ndarray:
+        """A component of every candidate in each dimension: what this part of the lists says, and rest for those unread."""
+        out = np.repeat(rest[:, None], self.ids.size, axis=1)
+        np.put_along_axis(out, self.places[:, part], self.values[:, part], axis=1)
+        return out
+
+    def _alive(self, q: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> np.ndarray:
+        """For each query the candidates whose upper bound reaches its floor or its k-th best lower bound.
+
+        At one depth a list says the same to all queries of one sign, so it is read once for
+        them, and their bounds are products of matrices. Whole numbers below 2**52 stay exact.
+        """
+        m, floor = self.ids.size, floor.copy()
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        alive, busy, before = self.ids != own[:, None], np.arange(len(q)), 0
         for depth in DEPTHS:
             hi = int(m * depth)
-            if hi == lo:
+            if hi == before:
                 continue
-            edge = np.empty(d)
-            for cols, part, last in ((up, slice(m - hi, m - lo), m - hi), (down, slice(lo, hi), hi - 1)):
-                at = self.places[cols, part]
-                have[at, cols[:, None]] = self.values[cols, part] * q[cols, None]
-                seen[at, cols[:, None]] = True
-                edge[cols] = self.values[cols, last] * q[cols]
-            lo = hi
-            got, unread = have[alive].sum(axis=1), ~seen[alive]
-            if alive.size >= k:
-                sure = got + unread @ least
-                floor = max(floor, np.partition(sure, alive.size - k)[alive.size - k])
-            alive = alive[got + unread @ edge >= floor]
-            if alive.size <= FEW * k:
+            before, high, low = hi, slice(m - hi, m), slice(0, hi)
+            left = alive[busy]
+            if m >= k:
+                sure = up[busy] @ self._read(high, self.values[:, 0]) + down[busy] @ self._read(low, self.values[:, -1])
+                sure[~left] = -math.inf
+                floor[busy] = np.maximum(floor[busy], np.partition(sure, m - k, axis=1)[:, m - k])
+            most = up[busy] @ self._read(high, self.values[:, m - hi]) + down[busy] @ self._read(low, self.values[:, hi - 1])
+            left &= most >= floor[busy, None]
+            alive[busy] = left
+            busy = busy[left.sum(axis=1) > FEW * k]
+            if not busy.size:
                 break
-        score = have[alive].sum(axis=1)
-        at, col = np.nonzero(~seen[alive])
-        return score + np.bincount(at, self.rows[alive[at], col] * q[col], alive.size), self.ids[alive]
+        return alive
 
 
 def _vectors(vecs: list[bytes]) -> np.ndarray:
@@ -97,6 +116,12 @@ def _sorted_lists(t: pa.Table) -> pa.Table:
     return pa.table([pa.array([x.shape[1]], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in out]], names=[c.split()[0] for c in _LISTS.split(", ")])
 
 
+def _whole(q: np.ndarray, at: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids where products are beyond doubles: whole numbers of Python, cut to 64 bits."""
+    w = [int(v) for v in q]
+    return np.array([max(-(2**63), min(2**63 - 1, sum(a * int(b) for a, b in zip(w, r)))) for r in rows[at]], object), ids[at]
+
+
 def _search(k: int, sent):
     def search(batches):
         blocks = {dim: (own, x, [(np.empty(0), np.empty(0, np.int64))] * len(own)) for dim, (own, x) in sent.value.items()}
@@ -110,17 +135,15 @@ def _search(k: int, sent):
                 values, rows = np.frombuffer(row["vals"], "<f8").reshape(dim, -1), np.frombuffer(row["vecs"], "<f8").reshape(-1, dim)
                 lists = Lists(ids, values, np.frombuffer(row["places"], np.int32).reshape(dim, -1), rows)
                 exact = np.abs(q).max() * np.abs(values).max() * dim < 2**52
-                for i in range(len(q)):
+                if exact:
+                    found = lists.bests(q, own, k, np.array([have[k - 1] if have.size >= k else -math.inf for have, _ in best], float))
+                else:
+                    found = (_whole(q[i], ids != own[i], ids, rows) for i in range(len(q)))
+                for i, (score, cand) in enumerate(found):
                     have, who = best[i]
-                    if exact:
-                        score, cand = lists.best(q[i], own[i], k, have[k - 1] if have.size >= k else -math.inf)
-                    else:  # products beyond doubles: whole numbers of Python, cut to 64 bits
-                        cand = ids[ids != own[i]]
-                        w = [int(v) for v in q[i]]
-                        score = np.array([max(-(2**63), min(2**63 - 1, sum(a * int(b) for a, b in zip(w, r)))) for r in rows[ids != own[i]]], object)
                     score, cand = np.concatenate((have, score)), np.concatenate((who, cand))
-                    top = np.array(sorted(range(len(cand)), key=lambda j: (-score[j], cand[j]))[:k], int)
-                    best[i] = (score[top], cand[top])
+                    top = np.array(sorted(range(len(cand)), key=lambda j: (-score[j], cand[j])), int) if score.dtype == object else np.lexsort((cand, -score))
+                    best[i] = (score[top[:k]], cand[top[:k]])
         for dim, (own, _, best) in blocks.items():
             n = [len(who) for _, who in best]
             columns = (np.repeat(own, n).tolist(), np.repeat(np.arange(len(own)), n).tolist(), [dim] * sum(n), [x for _, who in best for x in who.tolist()], [int(x) for score, _ in best for x in score])
