@@ -205,7 +205,7 @@ SELECT doc_id, pos::BIGINT AS pos, ('0x' || substr(md5(unhex(substr(h, (2 * grea
 FROM ends JOIN body USING (doc_id)""",
 )
 def boundary_values(spark, d):
-    return structure.boundary_values(docs(spark, d).select("doc_id", "text"))
+    return structure.boundary_values(table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query("token_blocks", f"WITH t AS (SELECT doc_id, regexp_extract_all(text, '{T.TOKEN}') AS t FROM documents) SELECT doc_id, q::BIGINT AS q, md5(array_to_string(t[q * 16 + 1 : q * 16 + 16], chr(31))) AS block FROM (SELECT doc_id, t, unnest(range(len(t) // 16)) AS q FROM t)")
